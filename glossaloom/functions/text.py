@@ -29,7 +29,11 @@ def only_if(condition: Column, items: Callable[[], Column]) -> Column:
 
 
 def words_lit(values: Iterable[str]) -> Column:
-    return F.array(*[F.lit(v) for v in values])
+    """A constant array of words (folded once by the optimiser)."""
+    values = list(values)
+    if any("\n" in v for v in values):
+        return F.array(*[F.lit(v) for v in values])
+    return F.split(F.lit("\n".join(values)), "\n")
 
 
 def strip(c: Column) -> Column:
@@ -225,3 +229,9 @@ def vector_cosine(a: Column, b: Column) -> Column:
 def normalised_distance(a: Column, b: Column) -> Column:
     longest = F.greatest(F.length(a), F.length(b))
     return F.when(longest == 0, F.lit(0.0)).otherwise(F.levenshtein(a, b) / longest)
+
+
+def rounded(c: Column, digits: int) -> Column:
+    """Round to ``digits``; exact binary ties go to the even neighbour, all others half up."""
+    exact_tie = c * float(2 ** (digits + 1))
+    return F.when(exact_tie == F.floor(exact_tie), F.bround(c, digits)).otherwise(F.round(c, digits))

@@ -17,33 +17,30 @@ from glossaloom.lexicon import SOUND_WORDS, Lexicon
 from glossaloom.operators.modelcalls import apply_rowwise
 from glossaloom.plans.lineage import cut
 
-CAPITAL_RUN = r"(?U)\b[A-Z][a-z]++\b(?:\s++[A-Z][a-z]++\b)*+"
+CAPITAL_RUN = r"(?U)(?=[A-Z])\b[A-Z][a-z]++\b(?:\s++[A-Z][a-z]++\b)*+"
 BRACKET = r"\[[^\]]{2,50}\]"
 QUOTED = r"'[A-Z][^']{2,50}'"
-POSSESSIVE = r"(?U)\b[A-Z][a-z]++\b(?:'s?\s++[A-Z][a-z]++\b)++"
+POSSESSIVE = r"(?U)(?=[A-Z])\b[A-Z][a-z]++\b(?:'s?\s++[A-Z][a-z]++\b)++"
 
 # Forms of address by source language, in reporting order.
 UNIVERSAL_ADDRESS = [
-    r"(?U)\bYour\s+Excellency\b", r"(?U)\bYour\s+Majesty\b", r"(?U)\bYour\s+Highness\b", r"(?U)\bYour\s+Honor\b",
-    r"(?U)\bYour\s+Grace\b", r"(?U)\bYour\s+Lordship\b", r"(?iU)\bMy\s+Lord\b", r"(?iU)\bMy\s+Lady\b",
-    r"(?U)\bSir\s+Knight\b",
+    r"Your\s+Excellency", r"Your\s+Majesty", r"Your\s+Highness", r"Your\s+Honor", r"Your\s+Grace",
+    r"Your\s+Lordship", r"(?i:My\s+Lord)", r"(?i:My\s+Lady)", r"Sir\s+Knight",
+]
+KOREAN_ADDRESS = [
+    "hyung|Hyung", "noona|Noona", "oppa|Oppa", "unni|Unni", "ahjussi|Ahjussi", "sunbae|Sunbae|senpai|Senpai",
+    "hubae|Hubae", "nim|Nim", "ajumma|Ajumma",
+]
+JAPANESE_SUFFIXES = ["-san", "-sama", "-kun", "-chan", "-sensei", "-senpai", "-dono"]
+CHINESE_ADDRESS = [
+    r"Senior\s+Brother|Junior\s+Brother", r"Senior\s+Sister|Junior\s+Sister", r"Elder\s+Brother|Elder\s+Sister",
+    r"Martial\s+Uncle|Martial\s+Aunt", r"Martial\s+Brother|Martial\s+Sister", r"Dao\s+Friend|Fellow\s+Daoist",
+    r"Sect\s+Master|Sect\s+Leader", r"Young\s+Master|Young\s+Miss", "Patriarch|Matriarch", "Ancestor",
 ]
 ADDRESS_BY_LANGUAGE = {
-    "korean": [
-        rf"(?U)\b(?:{a})\b"
-        for a in (
-            "hyung|Hyung", "noona|Noona", "oppa|Oppa", "unni|Unni", "ahjussi|Ahjussi",
-            "sunbae|Sunbae|senpai|Senpai", "hubae|Hubae", "nim|Nim", "ajumma|Ajumma",
-        )
-    ],
-    "japanese": [rf"(?U)\b\w+-{a}\b" for a in ("san", "sama", "kun", "chan", "sensei", "senpai", "dono")],
-    "chinese": [
-        r"(?U)\b(?:Senior\s+Brother|Junior\s+Brother)\b", r"(?U)\b(?:Senior\s+Sister|Junior\s+Sister)\b",
-        r"(?U)\b(?:Elder\s+Brother|Elder\s+Sister)\b", r"(?U)\b(?:Martial\s+Uncle|Martial\s+Aunt)\b",
-        r"(?U)\b(?:Martial\s+Brother|Martial\s+Sister)\b", r"(?U)\b(?:Dao\s+Friend|Fellow\s+Daoist)\b",
-        r"(?U)\b(?:Sect\s+Master|Sect\s+Leader)\b", r"(?U)\b(?:Young\s+Master|Young\s+Miss)\b",
-        r"(?U)\b(?:Patriarch|Matriarch)\b", r"(?U)\bAncestor\b",
-    ],
+    "korean": KOREAN_ADDRESS,
+    "japanese": [rf"\w+{suffix}" for suffix in JAPANESE_SUFFIXES],
+    "chinese": CHINESE_ADDRESS,
 }
 
 #: Where a signal stands in the reading order that breaks ties: extractor family, chapter, pattern, place.
@@ -51,13 +48,13 @@ SEQ_FIELDS = ["family", "chapter", "pattern", "s", "m", "sub"]
 ENTITY, TERMINOLOGY, HONORIFIC, MODEL = range(4)
 
 
-def _signal(kind: str, extractor: str, family: int, pattern: int, occ: Column, text: Column, context: Column,
+def _signal(kind: str, extractor: str, family: int, pattern: int | Column, occ: Column, text: Column, context: Column,
             sub: Column, support: str | None = None) -> Column:
     return F.struct(
         F.lit(kind).alias("type"),
         F.lit(extractor).alias("extractor"),
         F.lit(family).alias("family"),
-        F.lit(pattern).alias("pattern"),
+        (F.lit(pattern) if isinstance(pattern, int) else pattern).alias("pattern"),
         occ["s"].alias("s"),
         occ["m"].alias("m"),
         sub.cast("int").alias("sub"),
@@ -181,20 +178,33 @@ def address_patterns(languages: Sequence[str] | None = None) -> list[str]:
 
 
 def _address_signals(text: Column, languages: Sequence[str] | None) -> Column:
+    """Fixed phrases cannot overlap one another, so one alternation finds them all; name suffixes go one by one."""
     patterns = address_patterns(languages)
-    found = F.flatten(
-        F.array(
-            *[
-                F.transform(
-                    X.occurrences(text, p),
-                    lambda o, i=i: _signal("honorific", "honorific.pattern", HONORIFIC, i, o, o["text"], o["context"], F.lit(0)),
-                )
-                for i, p in enumerate(patterns)
-            ]
+
+    def signals(found: Column, number: Callable[[Column], Column]) -> Column:
+        return F.transform(
+            found,
+            lambda o: _signal("honorific", "honorific.pattern", HONORIFIC, number(o["text"]), o, o["text"], o["context"], F.lit(0)),
         )
-    )
-    # One cheap test keeps chapters without any form of address away from the separate patterns.
-    return X.only_if(text.rlike("|".join(f"(?:{p})" for p in patterns)), lambda: found)
+
+    fixed = [(i, p) for i, p in enumerate(patterns) if not p.startswith(r"\w+")]
+    # The first-letter test keeps the costlier Unicode word boundary off most characters.
+    any_fixed = r"(?U)(?=[hHnNoOuUaAsSmMyYJEDFP])\b(?:" + "|".join(p for _, p in fixed) + r")\b"
+
+    def fixed_number(match: Column) -> Column:
+        return F.coalesce(*[F.when(match.rlike(f"(?U)^(?:{p})$"), F.lit(i)) for i, p in fixed])
+
+    parts = [signals(X.occurrences(text, any_fixed), fixed_number)]
+    for i, p in enumerate(patterns):
+        if p.startswith(r"\w+"):
+            suffix = p[3:]
+            parts.append(
+                X.only_if(
+                    F.contains(text, F.lit(suffix)),
+                    lambda i=i, p=p: signals(X.occurrences(text, rf"(?U)\b{p}\b"), lambda _: F.lit(i)),
+                )
+            )
+    return F.concat(*parts)
 
 
 SIGNAL_COLUMNS = ["novel", "chapter", "type", "extractor", "text", "context", "seq"]
