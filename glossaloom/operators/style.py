@@ -292,10 +292,10 @@ def stylometry_delta(a: str, b: str, metric: str) -> Column:
     return X.rounded(F.abs(F.coalesce(F.col(a + metric), zero) - F.coalesce(F.col(b + metric), zero)), 4)
 
 
-def voice_richness(prefix: str = "") -> Column:
+def voice_richness(prefix: str = "", digits: int = 4) -> Column:
     spread = F.least(F.col(prefix + "sentence_length_variance"), F.lit(500.0)) / 500.0
     score = 0.4 * F.col(prefix + "lexical_richness") + 0.3 * F.col(prefix + "dialog_share") + 0.3 * spread
-    return F.coalesce(X.rounded(score, 4), F.lit(0.0))
+    return F.coalesce(X.rounded(score, digits), F.lit(0.0))
 
 
 # --------------------------------------------------------------------------- model-written profiles

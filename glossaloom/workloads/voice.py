@@ -31,7 +31,7 @@ def style_statistics(spark, sf):
 
 
 def chapter_stylometry(spark, sf):
-    return S.stylometry(chapters(spark, sf)).select("novel", "chapter", *S.METRICS, S.voice_richness().alias("voice_richness"))
+    return S.stylometry(chapters(spark, sf)).select("novel", "chapter", *S.METRICS, S.voice_richness(digits=6).alias("voice_richness"))
 
 
 def turn_stylometry_delta(spark, sf):
@@ -163,7 +163,7 @@ select novel, count(*) as n_chapters, sum(n)::bigint as n_sentences, sum(w)::big
     "chapter_stylometry": f"""
 with {_DOCS}, {_profile('docs', 'novel, chapter', 'text')}
 select docs.novel, docs.chapter, avg_sentence_length, sentence_length_variance, lexical_richness, hapax_ratio, contraction_rate, dialog_share,
-  coalesce({sql_round('0.4::double * lexical_richness + 0.3::double * dialog_share + 0.3::double * (least(sentence_length_variance, 500.0::double) / 500.0::double)', 4)}, 0.0) as voice_richness
+  coalesce({sql_round('0.4::double * lexical_richness + 0.3::double * dialog_share + 0.3::double * (least(sentence_length_variance, 500.0::double) / 500.0::double)', 6)}, 0.0) as voice_richness
 from docs left join prof using (novel, chapter)""",
     "scene_counts": f"""
 with {_PARAS} select novel, {_SCENE} as scene, count(*) as n, sum(length(paragraph))::bigint as chars from paras group by all""",
