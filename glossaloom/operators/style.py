@@ -127,17 +127,22 @@ def top_k(
     by: list[str] | None = None,
     block: int = BANK_BLOCK,
     bonus: str | None = None,
+    earlier: tuple[str, str] | None = None,
 ) -> DataFrame:
     """The ``k`` bank items most similar to each query, exactly: ``by, query_id, item_id, score, rank``.
 
     ``queries`` has ``by, query_id, features``, ``bank`` the same with ``item_id``; features are distinct
     tokens (``jaccard``) or vectors (``cosine``), ``bonus`` names a bank column added to the score.  Ties go
-    to the smaller ``item_id``.  The bank is read in blocks of at most ``block`` items; each block is
+    to the smaller ``item_id``.  ``earlier`` names a bank number that must be below a query number (bank column,
+    query column).  The bank is read in blocks of at most ``block`` items; each block is
     shipped to the tasks, scores its queries there and returns k rows per query, so neither a pair list nor
     a group larger than a block ever exists.
     """
     by = by or []
-    bank = bank.select(*by, "item_id", "features", (F.col(bonus) if bonus else F.lit(0.0)).cast("double").alias("bonus"))
+    bank = bank.select(
+        *by, "item_id", "features", (F.col(bonus) if bonus else F.lit(0.0)).cast("double").alias("bonus"),
+        (F.col(earlier[0]) if earlier else F.lit(0)).cast("double").alias("number"),
+    )
     n_items = bank.count()
     n_blocks = max(1, -(-n_items // block))
     if n_blocks > 1:
@@ -146,7 +151,8 @@ def top_k(
         [queries.schema[c] for c in by]
         + [queries.schema["query_id"], T.StructField("item_id", bank.schema["item_id"].dataType), T.StructField("score", T.DoubleType())]
     )
-    asked = queries.select(*by, "query_id", "features")
+    limit = F.col(earlier[1]).cast("double") if earlier else F.lit(float("inf"))
+    asked = queries.select(*by, "query_id", "features", limit.alias("below"))
     parts = []
     for b in range(2 * n_blocks if n_blocks > 1 else 1):
         rows = (bank.where(F.col("_block") == b) if n_blocks > 1 else bank).orderBy("item_id").collect()
@@ -165,31 +171,31 @@ def top_k(
 def _block_scorer(rows: list, by: list[str], k: int, method: str) -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]:
     groups: dict[tuple, list] = {}
     for r in rows:
-        groups.setdefault(tuple(r[c] for c in by), []).append((r["item_id"], r["features"], r["bonus"]))
+        groups.setdefault(tuple(r[c] for c in by), []).append((r["item_id"], r["features"], r["bonus"], r["number"]))
 
     def score(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         prepared: dict[tuple, tuple] = {}
         for key, items in groups.items():
             ids = [i[0] for i in items]
-            extra = np.array([i[2] for i in items])
+            extra, numbers = np.array([i[2] for i in items]), np.array([i[3] for i in items])
             if method == "cosine":
                 matrix = np.array([i[1] for i in items], dtype=np.float64)
                 norms = np.sqrt((matrix * matrix).sum(axis=1))
-                prepared[key] = (ids, extra, matrix, norms)
+                prepared[key] = (ids, extra, numbers, matrix, norms)
             else:
                 postings: dict[str, list[int]] = {}
                 for j, item in enumerate(items):
                     for t in item[1]:
                         postings.setdefault(t, []).append(j)
                 sizes = np.array([len(i[1]) for i in items], dtype=np.float64)
-                prepared[key] = (ids, extra, {t: np.array(p) for t, p in postings.items()}, sizes)
+                prepared[key] = (ids, extra, numbers, {t: np.array(p) for t, p in postings.items()}, sizes)
         for frame in frames:
             out = []
             for row in frame.itertuples(index=False):
                 key = tuple(getattr(row, c) for c in by)
                 if key not in prepared or row.features is None:
                     continue
-                ids, extra, index, sizes = prepared[key]
+                ids, extra, numbers, index, sizes = prepared[key]
                 if method == "cosine":
                     q = np.asarray(row.features, dtype=np.float64)
                     norm = np.sqrt((q * q).sum())
@@ -205,7 +211,8 @@ def _block_scorer(rows: list, by: list[str], k: int, method: str) -> Callable[[I
                     both = (sizes > 0) & (len(row.features) > 0)
                     values = np.divide(shared, union, out=np.zeros_like(shared), where=both & (union > 0)) + extra
                 # Items arrive in id order, so a stable sort keeps ties in that order.
-                for j in np.argsort(-values, kind="stable")[:k]:
+                open_items = numbers < row.below
+                for j in np.argsort(-np.where(open_items, values, -np.inf), kind="stable")[: min(k, int(open_items.sum()))]:
                     out.append((*key, row.query_id, ids[j], float(values[j])))
             yield pd.DataFrame(out, columns=[*by, "query_id", "item_id", "score"])
 
@@ -225,6 +232,27 @@ def retrieve_excerpts(chapters: DataFrame, bank: DataFrame, k: int = 8, by: list
     return top_k(queries, items, k, "jaccard", by, bonus="bonus")
 
 
+def prior_excerpts(chapters: DataFrame, originals: DataFrame, snippets: DataFrame, k: int = 4) -> DataFrame:
+    """Voice lines for MTL chapters: curated snippets and one excerpt of each original with a lower number.
+
+    ``chapters``/``originals`` have ``novel, chapter, text``; ``snippets`` has ``novel, pos, text``.  A line that
+    occurs twice counts at its first place.  Returns ``novel, chapter, rank, excerpt, score``.
+    """
+    derived = pick_excerpts(originals, 1, 300).select("novel", F.col("chapter").alias("number"), F.col("rank").alias("pos"), "excerpt")
+    curated = snippets.select("novel", F.lit(-1).cast("bigint").alias("number"), F.col("pos").cast("int").alias("pos"), F.col("text").alias("excerpt"))
+    lines = curated.unionByName(derived).groupBy("novel", "excerpt").agg(F.min(F.struct("number", "pos")).alias("at"))
+    bank = lines.select(
+        "novel", "at.number", "excerpt", F.format_string("%020d %06d", F.col("at.number") + 1, "at.pos").alias("item_id"),
+        style_tokens(F.col("excerpt")).alias("features"), F.when(F.col("excerpt").rlike(SOUNDS), 0.15).otherwise(0.0).alias("bonus"),
+    )
+    bank = cut(bank)
+    queries = chapters.select("novel", F.col("chapter").alias("query_id"), style_tokens(F.col("text")).alias("features"))
+    top = top_k(queries, bank, k, "jaccard", ["novel"], bonus="bonus", earlier=("number", "query_id"))
+    return top.join(bank.select("novel", "item_id", "excerpt"), ["novel", "item_id"]).select(
+        "novel", F.col("query_id").alias("chapter"), "rank", "excerpt", "score"
+    )
+
+
 def retrieve_exemplars(
     queries: DataFrame, bank: DataFrame, k: int = 3, scene: str | None = None, scenes: list[str] | None = None
 ) -> DataFrame:

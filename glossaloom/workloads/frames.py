@@ -28,3 +28,35 @@ def turns(spark: SparkSession, sf: str) -> DataFrame:
         talk.where("role = 'assistant'").select("conv_id", "turn", F.col("text").alias("generated"))
         .join(earlier, ["conv_id", "turn"])
     )
+
+
+def stored(spark: SparkSession, sf: str) -> DataFrame:
+    """Stored chapters: novel = source, 40 documents a number, English = original, labels = state."""
+    docs, labels = table(spark, sf, "documents"), table(spark, sf, "labels")
+    good = F.coalesce(F.col("quality") == 1, F.lit(False))
+    return docs.join(labels, "doc_id", "left").select(
+        F.col("doc_id").alias("chapter_id"),
+        F.col("source").alias("novel"),
+        (F.floor(F.col("doc_id") / 40) + 1).alias("number"),
+        F.when(F.col("lang") == "en", "original").otherwise("mtl").alias("source_type"),
+        F.col("text").alias("raw_text"),
+        F.when(good, F.col("text")).alias("refined_text"),
+        F.when(F.col("toxic") == 1, F.substring("text", 1, 20)).alias("summary"),
+        F.when(F.col("quality") == 1, "completed").when(F.col("quality") == 0, "failed").when(F.col("n_chars") > 1000, "queued")
+        .otherwise("pending").alias("status"),
+    )
+
+
+def novels(spark: SparkSession, sf: str) -> DataFrame:
+    docs = table(spark, sf, "documents")
+    return docs.groupBy(F.col("source").alias("novel")).agg(
+        F.max("doc_id").alias("created_at"), F.max("lang").alias("source_language"), F.max("source").alias("name"), F.max("source").alias("title")
+    )
+
+
+def jobs(spark: SparkSession, sf: str) -> DataFrame:
+    """Events as processing jobs of the chapter with the user's number."""
+    return table(spark, sf, "events").select(
+        F.col("event_id").alias("job_id"), F.col("user_id").alias("chapter_id"), F.lit("rewrite").alias("job_type"),
+        F.col("event_type").alias("status"), F.col("ts").alias("started_at"), F.col("props").alias("result_summary"),
+    )
