@@ -1,2 +1,201 @@
-QUERIES: dict = {}
-SQL: dict = {}
+"""Policy stores and glossaries: lookups, views, verdicts, merges, duplicates and character records."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from glossaloom.operators import glossary as G
+from glossaloom.operators import lore as L
+from glossaloom.operators import verdicts as V
+from glossaloom.sources.stores import upsert
+from glossaloom.workloads.frames import (
+    glossary_rows, known_characters, policy_form_rows, policy_rows, sightings, table,
+)
+
+
+def policy_lookup(spark, sf):
+    wanted = table(spark, sf, "benchmark").select(F.lit("en").alias("novel"), F.regexp_extract("text", r"(?U)^\W*(\w+)", 1).alias("query")).distinct()
+    return G.lookup(policy_rows(spark, sf), policy_form_rows(spark, sf), wanted).select("query", "policy_id", "trigger")
+
+
+def glossary_view(spark, sf):
+    return G.glossary_view(policy_rows(spark, sf)).select("novel", "canonical", "needs_review", F.round("confidence", 6).alias("confidence"))
+
+
+def glossary_aliases(spark, sf):
+    return G.glossary_aliases(policy_rows(spark, sf), policy_form_rows(spark, sf)).select("novel", "policy_id", "alias")
+
+
+def verified_glossary(spark, sf):
+    return G.verified_glossary(glossary_rows(spark, sf), policy_rows(spark, sf)).select("novel", "entry_id", "canonical")
+
+
+def protected_terms(spark, sf):
+    return G.protected_terms(policy_form_rows(spark, sf), glossary_rows(spark, sf))
+
+
+def glossary_search(spark, sf):
+    return G.search(glossary_rows(spark, sf), "TH", ["canonical", "aliases", "entity_type"]).select("novel", "entry_id")
+
+
+def character_view(spark, sf):
+    return G.character_view(glossary_rows(spark, sf), policy_rows(spark, sf)).select("novel", "entry_id", "needs_review")
+
+
+def average_confidence(spark, sf):
+    return policy_rows(spark, sf).groupBy("novel").agg(F.round(F.avg("confidence"), 6).alias("avg_confidence"))
+
+
+def policy_upsert(spark, sf):
+    current = policy_rows(spark, sf).select("novel", "policy_id", "trigger", "confidence")
+    changes = table(spark, sf, "labels").select(
+        F.lit("en").alias("novel"), F.concat(F.lit("d_"), F.col("doc_id").cast("string")).alias("policy_id"), F.lit("new").alias("trigger"), F.lit(1.0).alias("confidence")
+    )
+    return upsert(current, changes, ["novel", "policy_id"]).select("novel", "policy_id", "trigger", F.round("confidence", 6).alias("confidence"))
+
+
+def _verdicts(spark, sf):
+    docs, labels = table(spark, sf, "documents"), table(spark, sf, "labels")
+    return labels.join(docs, "doc_id").select(
+        F.col("lang").alias("novel"), F.concat(F.lit("d_"), F.col("doc_id").cast("string")).alias("policy_id"),
+        F.when(F.col("toxic") == 1, "DROP").when(F.col("quality") == 0, "RETYPE").otherwise("KEEP").alias("verdict"),
+        F.lit("honorific").alias("correct_type"), F.col("source").alias("reason"),
+    )
+
+
+def verdicts_applied(spark, sf):
+    return V.apply_verdicts(policy_rows(spark, sf), _verdicts(spark, sf)).select("novel", "policy_id", "type", "applies", "rejected", "note", "verdict")
+
+
+def verdict_counts(spark, sf):
+    return V.verdict_counts(V.apply_verdicts(policy_rows(spark, sf), _verdicts(spark, sf)))
+
+
+def merge_roots(spark, sf):
+    """Each document points to the document whose number is its length, where there is one."""
+    docs = table(spark, sf, "documents")
+    name = lambda c: F.concat(F.lit("d_"), F.col(c).cast("string"))
+    edges = docs.join(docs.select(F.col("doc_id").alias("to")), F.col("n_chars") == F.col("to")).where("doc_id <> n_chars").select(
+        F.lit("all").alias("novel"), name("doc_id").alias("src"), name("to").alias("dst")
+    )
+    policies = policy_rows(spark, sf).withColumn("novel", F.lit("all"))
+    return V.resolve_roots(edges, policies)
+
+
+def related_policies(spark, sf):
+    return V.related_policies(policy_rows(spark, sf))
+
+
+def duplicate_entries(spark, sf):
+    return G.duplicate_clusters(glossary_rows(spark, sf))
+
+
+def merged_glossary(spark, sf):
+    """Every document of a source merged into the source's first document of the same language."""
+    docs = table(spark, sf, "documents")
+    heads = docs.groupBy("lang", "source").agg(F.min("doc_id").alias("target_id"))
+    merges = docs.join(heads, ["lang", "source"]).select(
+        F.col("lang").alias("novel"), "target_id", F.col("doc_id").alias("source_id"), F.col("doc_id").alias("pos"), F.lit(None).cast("boolean").alias("deterministic")
+    )
+    glossary, _, _ = G.merge_entries(glossary_rows(spark, sf), policy_rows(spark, sf), policy_form_rows(spark, sf), merges)
+    return glossary.select(
+        "novel", "entry_id", "canonical", F.array_join("aliases", "|").alias("aliases"), F.array_join("evidence_contexts", "|").alias("evidence"),
+        F.col("metadata")["gender"].alias("gender"),
+    )
+
+
+def character_records(spark, sf):
+    out = L.update_characters(known_characters(spark, sf), sightings(spark, sf), strict_parity=True)
+    return out.select(
+        "name", "gender", "race_or_identity", "speech_style", "verified", "is_new", F.col("proposed")["speech_style"].alias("new_speech"),
+        F.col("proposed")["race_or_identity"].alias("new_identity"), F.size("evidence").alias("n_quotes"),
+    )
+
+
+def review_prompts(spark, sf):
+    """Prompt sizes of the verdict batches over all policies."""
+    from glossaloom.operators.mining import Mined
+    from glossaloom.plans.ordered import ranked
+
+    p = ranked(policy_rows(spark, sf).drop("rank"), "novel", [F.col("confidence").desc(), F.col("policy_id")])
+    none = p.select("novel", "policy_id")
+    store = Mined(p, policy_form_rows(spark, sf), none.withColumn("chapter", F.lit(1).cast("bigint")), none.select("*", F.lit(1).alias("pos"), F.lit("seen").alias("context")))
+    return V.verdict_prompts(store).select("novel", "batch", F.size("ids").alias("n_policies"), F.md5(F.array_join("ids", ",")).alias("ids_md5"))
+
+
+QUERIES = {
+    f.__name__: f
+    for f in (
+        policy_lookup, glossary_view, glossary_aliases, verified_glossary, protected_terms, glossary_search, character_view, average_confidence,
+        policy_upsert, verdicts_applied, verdict_counts, merge_roots, related_policies, duplicate_entries, merged_glossary, character_records,
+        review_prompts,
+    )
+}
+
+_P = r"""with named as (select *, regexp_extract(text, '^[^\p{L}\p{N}_]*([\p{L}\p{N}_]+(?: [\p{L}\p{N}_]+)?)', 1) as name from documents),
+pol as (select lang as novel, 'd_' || doc_id as policy_id, name as trigger, n_chars / (n_chars + 1000) as confidence, n_chars > 500 as det,
+  coalesce(quality = 0, false) as needs_review, coalesce(toxic = 1, false) as rejected, doc_id + 1 as rank, source from named left join labels using (doc_id)),
+frm as (select distinct novel, policy_id, unnest([trigger, split_part(trigger, ' ', 1)]) as form from pol),
+ver as (select 'd_' || doc_id as policy_id, case when toxic = 1 then 'DROP' when quality = 0 then 'RETYPE' else 'KEEP' end as verdict, source from labels join documents using (doc_id))
+"""
+
+SQL = {
+    "policy_lookup": _P + r""", q as (select distinct regexp_extract(text, '^[^\p{L}\p{N}_]*([\p{L}\p{N}_]+)', 1) as query from benchmark),
+idx as (select distinct policy_id, lower(form) as k from frm where novel = 'en')
+select query, policy_id, trigger from q join idx on idx.k = lower(query) join pol using (policy_id)""",
+    "glossary_view": _P + "select novel, trigger as canonical, needs_review, round(confidence, 6) as confidence from pol where not rejected",
+    "glossary_aliases": _P + "select novel, policy_id, form as alias from frm join pol using (novel, policy_id) where not rejected and form <> trigger",
+    "verified_glossary": _P + """select lang as novel, doc_id as entry_id, name as canonical from named
+where (lang, lower(name)) in (select (novel, lower(trigger)) from pol where not needs_review and not rejected)""",
+    "protected_terms": _P + "select distinct novel, form from frm where form <> ''",
+    "glossary_search": _P + "select lang as novel, doc_id as entry_id from named where contains(lower(name), 'th')",
+    "character_view": _P + """, f as (select novel, lower(trim(trigger)) as k, arg_min(needs_review, rank) as flag from pol group by all)
+select lang as novel, doc_id as entry_id, coalesce(flag, false) as needs_review from named left join f on f.novel = lang and k = lower(trim(name))""",
+    "average_confidence": _P + "select novel, round(avg(confidence), 6) as avg_confidence from pol group by novel",
+    "policy_upsert": _P + """select novel, policy_id, trigger, round(confidence, 6) as confidence from pol where (novel, policy_id) not in (select ('en', 'd_' || doc_id) from labels)
+union all select 'en', 'd_' || doc_id, 'new', 1.0 from labels""",
+    "verdicts_applied": _P + """select novel, policy_id, case when verdict = 'RETYPE' then 'honorific' else 'entity-naming' end as type,
+  case when verdict = 'DROP' or not det then 'prompted' else 'deterministic' end as applies, rejected or coalesce(verdict = 'DROP', false) as rejected,
+  coalesce(ver.source, '') as note, coalesce(verdict, 'KEEP') as verdict from pol left join ver using (policy_id)""",
+    "verdict_counts": _P + "select coalesce(verdict, 'KEEP') as verdict, count(*) as n from pol left join ver using (policy_id) group by 1",
+    "merge_roots": """with recursive e as (select a.doc_id as src, a.n_chars as dst from documents a join documents b on a.n_chars = b.doc_id where a.doc_id <> a.n_chars),
+w as (select src, dst as spot, 1 as depth from e union all select w.src, e.dst, depth + 1 from w join e on w.spot = e.src where depth < 2000)
+select 'all' as novel, 'd_' || src as src, 'd_' || spot as root from w where spot not in (select src from e)""",
+    "related_policies": _P + r""", t as (select novel, policy_id, trigger, needs_review and not rejected as doubtful, list_distinct(list_filter(regexp_split_to_array(lower(trigger), '\s+'), lambda x: x <> '')) as w from pol)
+select a.novel, a.policy_id, b.policy_id as related_id from t a join t b on a.novel = b.novel and a.policy_id <> b.policy_id where a.doubtful and (
+  (len(a.w) > 0 and len(b.w) > 0 and (list_has_all(a.w, b.w) or list_has_all(b.w, a.w)))
+  or levenshtein(a.trigger, b.trigger) / greatest(length(a.trigger), length(b.trigger)) < 0.35
+  or len(list_filter(list_intersect(a.w, b.w), lambda x: length(x) >= 4)) > 0)""",
+    "merged_glossary": _P + """, heads as (select lang, source, min(doc_id) as target_id from documents group by all),
+src as (select n.*, target_id from named n join heads using (lang, source)),
+alias as (select target_id, unnest([name, split_part(name, ' ', 1)]) as a from src),
+al as (select target_id, list_sort(list(distinct a)) as a from alias join named t on t.doc_id = target_id where a <> t.name group by target_id),
+qs as (select target_id, text[:40] as q, min(doc_id) as d from src group by all),
+own as (select doc_id as target_id, text[:40] as q from named),
+qr as (select qs.target_id, qs.q, row_number() over (partition by qs.target_id order by d) as k from qs join own on own.target_id = qs.target_id and own.q <> qs.q where qs.q <> ''),
+ev as (select target_id, list(q order by k) as q from qr where k <= 4 group by target_id),
+mt as (select target_id, max(case when n_chars > 500 then 'female' end) as g from src group by target_id)
+select n.lang as novel, target_id as entry_id, name as canonical, array_to_string(coalesce(a, []), '|') as aliases,
+  array_to_string(list_prepend(text[:40], coalesce(ev.q, [])), '|') as evidence, coalesce(mt.g, '') as gender
+from named n join heads h on h.target_id = n.doc_id left join al using (target_id) left join ev using (target_id) left join mt using (target_id)""",
+    "character_records": r"""with c as (select conv_id, 'Speaker' || conv_id as name, turn, role as gender, text,
+  regexp_extract(text, '^[^\p{L}\p{N}_]*([\p{L}\p{N}_]+)', 1) as race, regexp_extract(text, '([\p{L}\p{N}_]+)[^\p{L}\p{N}_]*$', 1) as speech from conversations),
+known as (select c.*, quality = 1 as verified from c join labels on doc_id = conv_id where turn = 0),
+s as (select c.*, k.speech as ks, k.race as kr, k.verified,
+  k.verified and ((c.speech <> '' and c.speech <> k.speech) or (c.race <> '' and c.race <> k.race)) as differs from c left join known k using (conv_id) where c.turn > 0),
+sm as (select name, max(turn) as last_turn, arg_max(gender, turn) as g, arg_max(race, turn) as r, arg_max(speech, turn) as sp,
+  min(turn) filter (where differs) as ct,
+  arg_min(case when speech <> '' and speech <> ks then speech else '' end, turn) filter (where differs) as ns,
+  arg_min(case when race <> '' and race <> kr then race else '' end, turn) filter (where differs) as ni,
+  arg_min(least(3, len(list_filter(string_split(text, chr(10)), lambda l: trim(l) <> '' and contains(trim(l), text[:15])))), turn) filter (where length(trim(text)) > 3) as q
+  from s group by name)
+select coalesce(k.name, sm.name) as name,
+  case when k.name is null or (last_turn is not null and (not verified or last_turn > ct)) then g else k.gender end as gender,
+  case when k.name is null or (last_turn is not null and (not verified or last_turn > ct)) then r else race end as race_or_identity,
+  case when k.name is null or (last_turn is not null and (not verified or last_turn > ct)) then sp else speech end as speech_style,
+  case when k.name is null then false else verified and ct is null end as verified, k.name is null as is_new,
+  nullif(ns, '') as new_speech, nullif(ni, '') as new_identity, coalesce(case when q = 0 then 1 else q end, 0)::int as n_quotes
+from known k full join sm on k.name = sm.name""",
+    "review_prompts": _P + """, r as (select *, row_number() over (partition by novel order by confidence desc, policy_id) as k from pol)
+select novel, floor((k - 1) / 20)::bigint as batch, count(*)::int as n_policies, md5(string_agg(policy_id, ',' order by k)) as ids_md5 from r group by all""",
+}
