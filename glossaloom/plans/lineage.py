@@ -36,3 +36,13 @@ def bounded_rows(df: DataFrame, limit: int = SMALL_ROWS) -> list | None:
     """The rows of ``df`` if there are at most ``limit`` of them, else None (nothing is dropped)."""
     rows = df.limit(limit + 1).collect()
     return rows if len(rows) <= limit else None
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """Deal the rows of a small table out to all cores.
+
+    A table of fewer splits than cores (one small file) would keep text work on one core; a large table has
+    more splits than cores and is left alone, so nothing is shuffled at scale.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from glossaloom.operators import alignment as A
 from glossaloom.operators import chunks as C
 from glossaloom.operators.style import METRICS
-from glossaloom.workloads.frames import chapters, table, turns
+from glossaloom.workloads.frames import chapters, table, texts, turns
 from glossaloom.workloads.voice import _sentences, sql_round
 
 KEYS = ["novel", "chapter"]
@@ -19,7 +19,7 @@ KEYS = ["novel", "chapter"]
 
 def _talk(spark, sf):
     """generated, mtl and original frames keyed by novel and chapter."""
-    talk = table(spark, sf, "conversations").withColumn("novel", F.lit("talk"))
+    talk = texts(spark, sf, "conversations").withColumn("novel", F.lit("talk"))
     number = F.col("conv_id") * 1000 + F.col("turn")
     generated = talk.where("role = 'assistant'").select("novel", number.alias("chapter"), "text")
     mtl = talk.select("novel", (number + 1).alias("chapter"), "text")

@@ -5,13 +5,20 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from glossaloom.plans.lineage import spread
+
 
 def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf}/{name}.parquet")
 
 
+def texts(spark: SparkSession, sf: str, name: str) -> DataFrame:
+    """A table of texts, dealt out to all cores when it has fewer splits."""
+    return spread(table(spark, sf, name))
+
+
 def chapters(spark: SparkSession, sf: str) -> DataFrame:
-    return table(spark, sf, "documents").select(
+    return texts(spark, sf, "documents").select(
         F.col("lang").alias("novel"), (F.col("doc_id") + 1).alias("chapter"), "text"
     )
 
@@ -22,7 +29,7 @@ def totals(spark: SparkSession, sf: str) -> DataFrame:
 
 def turns(spark: SparkSession, sf: str) -> DataFrame:
     """Assistant turns with the turn before them: a generated text and its source."""
-    talk = table(spark, sf, "conversations")
+    talk = texts(spark, sf, "conversations")
     earlier = talk.select("conv_id", (F.col("turn") + 1).alias("turn"), F.col("text").alias("source"))
     return (
         talk.where("role = 'assistant'").select("conv_id", "turn", F.col("text").alias("generated"))

@@ -13,7 +13,7 @@ from glossaloom.operators import retrieval as R
 from glossaloom.operators import rewriting as W
 from glossaloom.operators import substitution as S
 from glossaloom.sources import corpus
-from glossaloom.workloads.frames import chapters, table, totals, turns
+from glossaloom.workloads.frames import chapters, table, texts, totals, turns
 from glossaloom.workloads.names import _SCORES
 
 
@@ -122,12 +122,12 @@ def chapter_sentences(spark, sf):
 
 def page_texts(spark, sf):
     text = corpus.html_to_text(F.col("html"))
-    return table(spark, sf, "pages").select("page_id", F.length(text).alias("chars"), F.size(X.lines(text)).alias("n_lines"))
+    return texts(spark, sf, "pages").select("page_id", F.length(text).alias("chars"), F.size(X.lines(text)).alias("n_lines"))
 
 
 def page_chapters(spark, sf):
     """Pages as files: notes stripped, split at headings, numbered."""
-    files = table(spark, sf, "pages").select(F.col("url").alias("path"), corpus.html_to_text(F.col("html"), drop_script=True).alias("raw"))
+    files = texts(spark, sf, "pages").select(F.col("url").alias("path"), corpus.html_to_text(F.col("html"), drop_script=True).alias("raw"))
     rows = corpus.chapter_rows(files, marker=r"Part \d+", strips=corpus.STRIP_PATTERNS)
     return rows.select("path", "pos", "chapter", "title", F.size("paragraphs").alias("n_paragraphs"))
 
