@@ -42,60 +42,95 @@ def _runs(forms: DataFrame, keys: list[str], tokens: str) -> DataFrame:
     )
 
 
-def find_forms(texts: DataFrame, forms: DataFrame, form_keys: list[str], tokens: str = WORD_TOKENS, at: list[str] | None = None) -> DataFrame:
-    """``novel, *at, *form_keys, first, last`` (1-based token places) for each whole-word match, ignoring case.
-
-    ``texts`` has ``novel, *at, text``; ``forms`` has ``novel, *form_keys, form``.
+def find_forms(
+    texts: DataFrame, forms: DataFrame, form_keys: list[str], tokens: str = WORD_TOKENS, at: list[str] | None = None, places: bool = True
+) -> DataFrame:
+    """``novel, *at, *form_keys, first, last, shown`` for each whole-word match, ignoring case: 1-based token
+    places and the matched text.
+
+    ``texts`` has ``novel, *at, text``; ``forms`` has ``novel, *form_keys, form``.  With ``places=False`` each
+    text lists a run once, so the result says which forms occur, not where.
     """
     at = at or ["chapter"]
     keys = ["novel", *form_keys]
     runs = _runs(forms.select(*keys, "form").distinct(), keys, tokens)
-    # At most LONGEST_RUN different sizes, whatever the number of forms.
-    sizes = sorted(r[0] for r in runs.select(F.least("n", F.lit(LONGEST_RUN)).alias("k")).distinct().collect())
-    if not sizes:
-        sizes = [1]
-
-    def grams(ts: Column) -> Column:
-        def from_place(i: Column) -> Column:
-            fits = F.filter(
-                F.array(*[F.lit(k) for k in sizes]),
-                lambda k: (i + k - 1 <= F.size(ts))
-                & (_is_word(F.get(ts, i - 1), tokens) | ~_is_word(F.get(ts, i - 2), tokens))
-                & (_is_word(F.get(ts, i + k - 2), tokens) | ~_is_word(F.get(ts, i + k - 1), tokens)),
+    # One small summary of the forms decides the plan: run sizes (at most LONGEST_RUN of them), whether any
+    # form opens with a non-word character or needs several runs, and whether the runs may be broadcast.
+    shape = runs.agg(
+        F.array_sort(F.collect_set(F.least("n", F.lit(LONGEST_RUN)))).alias("sizes"),
+        F.max(~_is_word(F.col("run"), tokens)).alias("odd"),
+        F.max(F.col("n_runs") > 1).alias("long"),
+        F.count("*").alias("rows"),
+    ).collect()[0]
+    few = shape["rows"] <= SMALL_ROWS
+    small = (lambda df: F.broadcast(df)) if few else (lambda df: df)
+    sizes = shape["sizes"] or [1]
+
+    # Arrays as long as a text are only ever indexed: ``slice`` copies its whole input on every call.
+    def at_tokens(body):
+        """``body(tokens, is_word, places)`` over the tokens of a text and the places where a run may start."""
+
+        def with_tokens(ts: Column) -> Column:
+            def with_kinds(ws: Column) -> Column:
+                start = F.filter(F.sequence(F.lit(1), F.size(ts)), lambda i: F.lit(bool(shape["odd"])) | F.get(ws, i - 1))
+                return X.only_if(F.size(ts) > 0, lambda: body(ts, ws, start))
+
+            return X.let(F.transform(ts, lambda t: _is_word(t, tokens)), with_kinds)
+
+        return X.let(tokenise(F.col("text"), tokens), with_tokens)
+
+    def joined(ts: Column, i: Column, k: int) -> Column:
+        return F.get(ts, i - 1) if k == 1 else F.concat(*[F.get(ts, i - 1 + j) for j in range(k)])
+
+    def opens(ws: Column, i: Column) -> Column:
+        return F.get(ws, i - 1) | ~F.coalesce(F.get(ws, i - 2), F.lit(False))
+
+    def closes(ws: Column, last: Column) -> Column:
+        return F.get(ws, last - 1) | ~F.coalesce(F.get(ws, last), F.lit(False))
+
+    def bounded(ts: Column, ws: Column, start: Column) -> Column:
+        def of_size(k: int) -> Column:
+            fits = F.filter(start, lambda i: (i + k - 1 <= F.size(ts)) & opens(ws, i) & closes(ws, i + k - 1))
+            return F.transform(
+                fits, lambda i: X.let(joined(ts, i, k), lambda shown: F.struct(i.alias("i"), F.lower(shown).alias("run"), shown.alias("shown")))
             )
-            return F.transform(fits, lambda k: F.struct(i.alias("i"), F.lower(F.array_join(F.slice(ts, i, k), "")).alias("run")))
 
-        return F.flatten(F.transform(F.sequence(F.lit(1), F.greatest(F.size(ts), F.lit(1))), from_place))
+        return F.concat(*[of_size(k) for k in sizes])
+
+    def listed(ts: Column, ws: Column, start: Column) -> Column:
+        runs_only = F.array_distinct(F.transform(bounded(ts, ws, start), lambda g: g["run"]))
+        return F.transform(runs_only, lambda r: F.struct(F.lit(1).alias("i"), r.alias("run"), r.alias("shown")))
 
-    # A run inside a long form may end next to a word, so long forms also take runs without the boundary test.
-    has_long = sizes[-1] == LONGEST_RUN and bool(runs.where("n_runs > 1").limit(1).count())
-    text_runs = texts.select("novel", *at, F.explode(X.let(tokenise(F.col("text"), tokens), grams)).alias("g")).select("novel", *at, "g.*")
-    hits = text_runs.join(runs.where("n_runs = 1"), ["novel", "run"])
-    found = hits.select("novel", *at, *form_keys, F.col("i").alias("first"), (F.col("i") + F.col("n") - 1).alias("last"))
-    if not has_long:
+    grams = at_tokens(bounded if places else listed)
+    text_runs = texts.select("novel", *at, F.explode(grams).alias("g")).select("novel", *at, "g.*")
+    hits = text_runs.join(small(runs.where("n_runs = 1")), ["novel", "run"])
+    found = hits.select("novel", *at, *form_keys, F.col("i").alias("first"), (F.col("i") + F.col("n") - 1).alias("last"), "shown")
+    if not shape["long"]:
         return found
 
-    def windows(ts: Column) -> Column:
-        return F.transform(
-            F.filter(F.sequence(F.lit(1), F.greatest(F.size(ts), F.lit(1))), lambda i: i + LONGEST_RUN - 1 <= F.size(ts)),
-            lambda i: F.struct(
-                i.alias("i"),
-                F.lower(F.array_join(F.slice(ts, i, LONGEST_RUN), "")).alias("run"),
-                (_is_word(F.get(ts, i - 1), tokens) | ~_is_word(F.get(ts, i - 2), tokens)).alias("opens"),
-                (_is_word(F.get(ts, i + LONGEST_RUN - 2), tokens) | ~_is_word(F.get(ts, i + LONGEST_RUN - 1), tokens)).alias("closes"),
-            ),
-        )
+    # A long form is several full-size runs in a row; inner runs may end next to a word.
+    def windows(ts: Column, ws: Column, _: Column) -> Column:
+        def window(i: Column) -> Column:
+            parts = F.array(*[F.get(ts, i - 1 + j) for j in range(LONGEST_RUN)])
+            return F.struct(
+                i.alias("i"), F.lower(joined(ts, i, LONGEST_RUN)).alias("run"), parts.alias("parts"),
+                opens(ws, i).alias("opens"), closes(ws, i + LONGEST_RUN - 1).alias("closes"),
+            )
+
+        return F.transform(F.filter(F.sequence(F.lit(1), F.size(ts)), lambda i: i + LONGEST_RUN - 1 <= F.size(ts)), window)
 
-    wide = texts.select("novel", *at, F.explode(X.let(tokenise(F.col("text"), tokens), windows)).alias("g")).select("novel", *at, "g.*")
+    wide = texts.select("novel", *at, F.explode(at_tokens(windows)).alias("g")).select("novel", *at, "g.*")
     start = F.col("i") - F.col("offset")
+    # The last run reaches back over the one before it, so only its last tokens are new.
+    fresh = F.slice("parts", F.when(F.col("offset") + LONGEST_RUN < F.col("n"), 1).otherwise(LONGEST_RUN - (F.col("n") - 1) % LONGEST_RUN), LONGEST_RUN)
     long_found = (
-        wide.join(runs.where("n_runs > 1"), ["novel", "run"])
+        wide.join(small(runs.where("n_runs > 1")), ["novel", "run"])
         .where((F.col("offset") > 0) | F.col("opens"))
         .where((F.col("offset") + LONGEST_RUN < F.col("n")) | F.col("closes"))
         .groupBy("novel", *at, *form_keys, "n", "n_runs", start.alias("first"))
-        .agg(F.count("*").alias("got"))
+        .agg(F.count("*").alias("got"), F.array_sort(F.collect_list(F.struct("offset", F.array_join(fresh, "").alias("t")))).alias("pieces"))
         .where("got = n_runs")
-        .select("novel", *at, *form_keys, "first", (F.col("first") + F.col("n") - 1).alias("last"))
+        .select("novel", *at, *form_keys, "first", (F.col("first") + F.col("n") - 1).alias("last"), F.array_join("pieces.t", "").alias("shown"))
     )
     return found.unionByName(long_found)
 
@@ -107,7 +142,7 @@ def retrieve_policies(texts: DataFrame, policies: DataFrame, forms: DataFrame, k
     order, or by confidence when ``order='confidence'``.
     """
     ranked_forms = forms.join(policies.select("novel", "policy_id", "rank", "confidence"), ["novel", "policy_id"])
-    hits = find_forms(texts, ranked_forms, ["policy_id", "pos", "form", "rank", "confidence"], ASCII_TOKENS)
+    hits = find_forms(texts, ranked_forms, ["policy_id", "pos", "form", "rank", "confidence"], ASCII_TOKENS, places=False)
     matched = hits.groupBy("novel", "chapter", "policy_id").agg(
         F.min(F.struct((-F.length("form")).alias("shorter"), "rank", "pos")).alias("entry"), F.max("confidence").alias("confidence")
     )
@@ -118,7 +153,7 @@ def retrieve_policies(texts: DataFrame, policies: DataFrame, forms: DataFrame, k
 
 
 def find_spans(texts: DataFrame, policies: DataFrame, forms: DataFrame) -> DataFrame:
-    """Every place a policy form stands as a whole word: ``novel, chapter, policy_id, pos, form, first, last``."""
+    """Every place a policy form stands as a whole word: ``novel, chapter, policy_id, pos, form, first, last, shown``."""
     return find_forms(texts, forms.join(policies.select("novel", "policy_id"), ["novel", "policy_id"], "left_semi"), ["policy_id", "pos", "form"])
 
 

@@ -58,9 +58,9 @@ runs as (
 
 
 def single_names(spark, sf):
-    raw = E.raw_signals(chapters(spark, sf), families=[E.ENTITY])
+    signals = E.extract_signals(chapters(spark, sf), families=[E.ENTITY])
     return (
-        E.apply_support(raw, 2).where("extractor = 'entity.single_cap'").groupBy("novel", F.col("text").alias("form"))
+        signals.where("extractor = 'entity.single_cap'").groupBy("novel", F.col("text").alias("form"))
         .agg(F.count("*").alias("n"), F.countDistinct("chapter").alias("n_chapters"))
     )
 
@@ -90,7 +90,7 @@ def signal_contexts(spark, sf):
 
 
 def signal_type_counts(spark, sf):
-    return E.signal_counts(E.apply_support(E.raw_signals(chapters(spark, sf), families=[E.ENTITY]), 2))
+    return E.signal_counts(E.extract_signals(chapters(spark, sf), families=[E.ENTITY]))
 
 
 def signal_families(spark, sf):

@@ -66,7 +66,7 @@ def test_word_boundaries_and_conflict_winner(spark):
     rewritten, resolved = S.prepass(texts, policies, forms)
     out = {r.chapter: r.new_text for r in rewritten.collect()}
     assert out == {1: "The young lord arrived.", 2: "a brilliant Julian met éIan", 3: "Iain spoke to Iain."}
-    clash = S.conflicts(resolved, policies, texts).collect()
+    clash = S.conflicts(resolved, policies).collect()
     assert [(c.span, c.winner_id, c.loser_id, c.tied) for c in clash] == [("Master", "p2", "p1", False)]
     trace = S.trace_rows(rewritten).where("chapter = 3").orderBy("start").collect()
     assert [(t.original, t.start, t.stop) for t in trace] == [("ian", 0, 3), ("IAN", 13, 16)]
@@ -88,7 +88,7 @@ def test_random_texts_match_the_model(spark):
     rewritten, resolved = S.prepass(frame, policies, forms)
     got = {r.chapter: r.new_text for r in rewritten.collect()}
     lost = {}
-    for c in S.conflicts(resolved, policies, frame).collect():
+    for c in S.conflicts(resolved, policies).collect():
         lost.setdefault(c.chapter, []).append((c.span, c.winner_id, c.loser_id))
     for i, text in enumerate(texts, 1):
         want, clashes = model_resolve(text, rows)
