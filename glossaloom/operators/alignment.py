@@ -110,11 +110,12 @@ def faithfulness(df: DataFrame, generated: str = "generated", source: str = "sou
     df = df.withColumn("_gt", tokens(gen)).withColumn("_st", tokens(src))
 
     def unsupported(text: Column, other: str) -> Column:
-        def share(ss: Column) -> Column:
-            lone = F.filter(ss, lambda s: X.let(tokens(s), lambda ts: (F.size(ts) > 0) & ~F.arrays_overlap(ts, F.col(other))))
+        # Both arrays are bound once: a column used in a lambda could be recomputed for every sentence.
+        def share(ss: Column, known: Column) -> Column:
+            lone = F.filter(ss, lambda s: X.let(tokens(s), lambda ts: (F.size(ts) > 0) & ~F.arrays_overlap(ts, known)))
             return F.when(F.size(ss) > 0, X.rounded(F.size(lone) / F.size(ss), 4)).otherwise(0.0)
 
-        return X.let(X.full_sentences(text), share)
+        return X.let(F.col(other), lambda known: X.let(X.full_sentences(text), lambda ss: share(ss, known)))
 
     covered = F.size(F.array_intersect("_gt", "_st"))
     out = (
