@@ -51,6 +51,7 @@ starts as (
 numbered as (select *, sum(new_run) over (partition by novel, chapter order by i) as run from starts),
 runs as (
   select novel, chapter, run, count(*) as n, list(w order by i) as ws,
+         list(case when new_run = 1 then w else gap || w end order by i) as joined,
          string_agg(case when new_run = 1 then w else gap || w end, '' order by i) as phrase
   from numbered group by novel, chapter, run)
 """
@@ -220,9 +221,23 @@ select novel, form, count(*) as n, count(distinct chapter) as n_chapters from si
 group by novel, form having count(distinct chapter) >= 2""",
     "phrase_names": RUNS + f"""
 select novel, chapter, phrase as form, count(*) as n from runs where {_PHRASE_FILTER} group by all""",
-    "signal_contexts": SINGLES + """, placed as (
-  select novel, chapter, form, row_number() over (partition by novel, chapter, form) as k from single)
-select null::varchar as novel, null::bigint as chapter, null::varchar as form, null::int as context_chars, null::varchar as context_md5 where false""",
+    "suffix_names": RUNS + f""", suffix_at as (
+  select *, list_max(list_filter(range(1, n + 1), lambda i: list_contains({_sql_list(LEX.domain_suffixes)}, ws[i]))) as k from runs),
+title_at as (select *, list_min(list_filter(range(1, n), lambda i: list_contains({_sql_list(LEX.titles)}, ws[i]))) as k from runs),
+titled as (select novel, ws[k] as title, ws[k+1] || array_to_string(joined[k+2:], '') as name from title_at where k is not null),
+every as (
+  select novel, 'entity.domain_suffix' as extractor, array_to_string(joined[1:k], '') as form from suffix_at
+  where k >= 2 and len(list_filter(ws[1:k], lambda w: not list_contains({_sql_list(LEX.stop_words)}, w))) > 0
+  union all select novel, 'entity.title_name', title || ' ' || name from titled
+  union all select novel, 'entity.title_name_bare', name from titled where not list_contains({_sql_list(LEX.stop_words)}, name))
+select novel, extractor, form, count(*) as n from every group by all""",
+    "signal_contexts": f"""
+with seg as (select lang as novel, doc_id + 1 as chapter, unnest(regexp_split_to_array(text, '[.!?\n]')) as s from documents),
+tk as (select *, regexp_extract_all(s, '[\\p{{L}}\\p{{N}}_]+|[^\\p{{L}}\\p{{N}}_]+') as t from seg),
+w as (select novel, chapter, trim(s, e' \\t\\r')[:200] as context, t, unnest(range(1, len(t) + 1)) as i from tk)
+select novel, chapter, t[i] as form, length(context)::int as context_chars, md5(context) as context_md5 from w
+where regexp_full_match(t[i], '[A-Z][a-z]{{2,}}') and not list_contains({_sql_list(LEX.stop_words)}, t[i]) and i > 1
+  and not regexp_matches(regexp_replace(t[i-1], '[ \\t]+$', ''), '["'']$') and not (i = 2 and regexp_replace(t[1], '[ \\t]+$', '') = '')""",
     "signal_type_counts": RUNS.replace("with docs", "with docs", 1) + f""", single as (
   select novel, chapter, w as form from cap
   where regexp_full_match(w, '[A-Z][a-z]{{2,}}') and not list_contains({_sql_list(LEX.stop_words)}, w)
@@ -256,4 +271,3 @@ select type, applies, count(*) as n, round(avg(confidence), 4) as avg_confidence
   count(*) filter (where confidence < 0.6) as low, count(*) filter (where needs_review) as review, 0::bigint as rejected
 from form_policy group by grouping sets ((type), (applies), ())""",
 }
-del SQL["signal_contexts"]
