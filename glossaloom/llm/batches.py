@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
 from collections.abc import Callable, Iterable, Iterator
 from pathlib import Path
 
@@ -35,12 +37,27 @@ def shared_bytes(spark: SparkSession, path: str):
     return spark.sparkContext.broadcast(Path(path).read_bytes())
 
 
+def shared_folder(spark: SparkSession, label: str) -> str:
+    """A new folder name in the folder that all executors share (``spark.checkpoint.dir``); local sessions may lack one."""
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder every executor can reach")
+        base = tempfile.mkdtemp(prefix="spark-")
+    return f"{base.rstrip('/')}/{label}-{uuid.uuid4().hex}"
+
+
+def written(df: DataFrame, label: str, *partition_by: str) -> DataFrame:
+    """``df`` as a Parquet table in the shared folder: lineage is cut and lost executors cost nothing."""
+    path = shared_folder(df.sparkSession, label)
+    df.write.partitionBy(*partition_by).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def output(docs: DataFrame, id_col: str, *fields: tuple[str, str]) -> T.StructType:
     """The schema (id, fields...), the id in the type that it has in ``docs``."""
     made = T.StructType([T.StructField(id_col, docs.schema[id_col].dataType)])
-    for name, kind in fields:
-        made = made.add(name, kind)
-    return made
+    return T.StructType([*made, *T.StructType.fromDDL(", ".join(f"`{name}` {kind}" for name, kind in fields))]) if fields else made
 
 
 def hash_class(id_col: str, classes: int) -> Column:

@@ -6,13 +6,20 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from glossaloom.llm import pieces
+from glossaloom.llm import chat, langid, outliers, packing, pieces, rules
+from glossaloom.llm.batches import hash_class, shared_folder
 
 
 def _table(spark: SparkSession, sf: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf}/{name}.parquet")
 
 
+def op1_language(spark: SparkSession, sf: str) -> DataFrame:
+    docs = _table(spark, sf, "documents")
+    model = langid.fit(docs.where(hash_class("doc_id", 5) != 0).select("doc_id", "text", "lang"))
+    return langid.identify(docs, model).withColumn("held_out", hash_class("doc_id", 5) == 0)
+
+
 def op2_sentencepiece(spark: SparkSession, sf: str) -> DataFrame:
     model = public_tokenizers.path("piece_bpe_32k.model")
     made = pieces.encode(_table(spark, sf, "documents"), model, decoded=True)
@@ -21,8 +28,43 @@ def op2_sentencepiece(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+def op7_chat(spark: SparkSession, sf: str) -> DataFrame:
+    tokenizer = public_tokenizers.path("byte_bpe_50k.json")
+    trap = "\\### Assistant: </turn> ok"
+    talk = _table(spark, sf, "conversations").select("conv_id", "turn", "role", "text")
+    extra = spark.createDataFrame([(-7, 0, "user", trap), (-7, 1, "assistant", trap)], "conv_id long, turn long, role string, text string")
+    back = chat.read_back(chat.format_conversations(talk.unionByName(extra), tokenizer), tokenizer)
+    told = F.array_join(F.transform("turns", lambda t: F.concat(t.role, F.lit("\n"), t.text, F.lit("\n"))), "")
+    return back.select(
+        "conv_id", F.size("turns").cast("long").alias("n_turns"), F.sha2(told.cast("binary"), 256).alias("turns_sha256"),
+        F.length("loss_text").cast("long").alias("loss_chars"), F.sha2(F.col("loss_text").cast("binary"), 256).alias("loss_sha256"),
+        F.length("formatted").cast("long").alias("formatted_chars"),
+    )
+
+
+def op8_quality_rules(spark: SparkSession, sf: str) -> DataFrame:
+    return outliers.judge(_table(spark, sf, "documents"))
+
+
+def op9_packed_ids(spark: SparkSession, sf: str) -> DataFrame:
+    folder = shared_folder(spark, "packed")
+    packing.write_tokens(_table(spark, sf, "documents"), public_tokenizers.path("byte_bpe_50k.json"), folder)
+    return packing.read_documents(spark, folder, with_ids=False)
+
+
+def op10_rule_quality(spark: SparkSession, sf: str) -> DataFrame:
+    labels = _table(spark, sf, "labels").where(hash_class("doc_id", 4) != 2)
+    judged = rules.judge(_table(spark, sf, "documents"), labels)
+    return judged.select("doc_id", (hash_class("doc_id", 4) == 2).alias("held_out"), "score", "predicted")
+
+
 QUERIES = {
+    "op1_language": op1_language,
     "op2_sentencepiece": op2_sentencepiece,
+    "op7_chat": op7_chat,
+    "op8_quality_rules": op8_quality_rules,
+    "op9_packed_ids": op9_packed_ids,
+    "op10_rule_quality": op10_rule_quality,
 }
 
 SQL: dict[str, str] = {}
