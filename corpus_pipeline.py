@@ -1,12 +1,76 @@
-"""A corpus pipeline: stages over documents, each written as Parquet and read again by the next."""
+"""A corpus pipeline: stages over documents, each written as Parquet and read again by the next.
+
+Every stage but the last returns the columns of documents.  A decision is taken on the whole row, so repeated rows and null
+ids are filtered like any other.
+"""
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from glossaloom.llm import bagminhash, decontaminate, langid, pieces, rules
+from glossaloom.llm.batches import hash_class, written
+
+#: A text is rejected if no language claims it with this score or more (0.5 is the border of a language).
+LEAST_LANGUAGE_SCORE = 0.3
 
-STAGES: list = []
+#: Kernel sums, lasso fits, Poisson signatures and tokenizer merges have no SQL form: tests hold the stages against models.
 ORACLE_SQL: str | None = None
 
 
+def _whole_rows(docs: DataFrame) -> DataFrame:
+    return docs.select(F.struct(*docs.columns).alias("row"), "text")
+
+
+def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Rejects texts without a letter and texts that no language claims; learns as the language query does."""
+    model = langid.fit(docs.where(hash_class("doc_id", 5) != 0))
+    judged = langid.identify(_whole_rows(docs), model, "row")
+    return judged.where((F.col("lang_pred") != langid.UNDETERMINED) & (F.col("score") >= LEAST_LANGUAGE_SCORE)).select("row.*")
+
+
+def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Rejects texts that the rule ensemble, learnt from the labels of present documents, scores under 0.7."""
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
+    model = rules.fit(docs, labels.where(hash_class("doc_id", 4) != 2))
+    return rules.judge(_whole_rows(docs), model, "row").where("predicted = 1").select("row.*")
+
+
+def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Leaves the row with the least id of each class of near duplicates."""
+    rows = docs.withColumn("row_number", F.monotonically_increasing_id())
+    named = rows.select(F.struct("doc_id", "row_number").alias("id"), "text")
+    judged = bagminhash.near_duplicates(named, "id")
+    gone = judged.where("not kept").select(F.col("id.row_number").alias("row_number"))
+    return rows.join(gone, "row_number", "left_anti").drop("row_number")
+
+
+def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Rejects documents that hold a benchmark item."""
+    benchmark = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
+    return decontaminate.flag_leaks(_whole_rows(docs), benchmark, "row").where("not leaked").select("row.*")
+
+
+def sentencepiece(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """(doc_id, n_tokens, ids, decoded_sha256): packed ids of the kept documents and the digest of what they decode to."""
+    made = pieces.encode(docs, public_tokenizers.path("piece_bpe_32k.model"), decoded=True)
+    return made.select("doc_id", "n_tokens", "ids", F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"))
+
+
+STAGES = [
+    ("language_id", language_id),
+    ("quality_classifier", quality_classifier),
+    ("near_dedup", near_dedup),
+    ("decontamination", decontamination),
+    ("sentencepiece", sentencepiece),
+]
+
+
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/documents.parquet")
+    """All stages over documents; each result is a Parquet table in the shared folder."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    for name, stage in STAGES:
+        docs = written(stage(spark, docs, sf_dir), name)
+    return docs

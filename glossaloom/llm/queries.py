@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from glossaloom.llm import chat, langid, outliers, packing, pieces, rules
+from glossaloom.llm import bagminhash, brown, chat, counting, decontaminate, langid, outliers, packing, pieces, rules
 from glossaloom.llm.batches import hash_class, shared_folder
 
 
@@ -28,6 +28,25 @@ def op2_sentencepiece(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+def op3_class_model(spark: SparkSession, sf: str) -> DataFrame:
+    docs = _table(spark, sf, "documents")
+    model = brown.fit(docs.where(hash_class("doc_id", 7) != 2))
+    return brown.score(docs, model).withColumn("held_out", hash_class("doc_id", 7) == 2)
+
+
+def op4_bagminhash(spark: SparkSession, sf: str) -> DataFrame:
+    return bagminhash.near_duplicates(_table(spark, sf, "documents"))
+
+
+def op5_token_counts(spark: SparkSession, sf: str) -> DataFrame:
+    vocabulary = counting.vocabulary_of(public_tokenizers.path("piece_bpe_32k.model"))
+    return counting.count_tokens(_table(spark, sf, "documents"), vocabulary)
+
+
+def op6_decontamination(spark: SparkSession, sf: str) -> DataFrame:
+    return decontaminate.find_leaks(_table(spark, sf, "documents"), _table(spark, sf, "benchmark"))
+
+
 def op7_chat(spark: SparkSession, sf: str) -> DataFrame:
     tokenizer = public_tokenizers.path("byte_bpe_50k.json")
     trap = "\\### Assistant: </turn> ok"
@@ -53,14 +72,18 @@ def op9_packed_ids(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def op10_rule_quality(spark: SparkSession, sf: str) -> DataFrame:
-    labels = _table(spark, sf, "labels").where(hash_class("doc_id", 4) != 2)
-    judged = rules.judge(_table(spark, sf, "documents"), labels)
+    docs, labels = _table(spark, sf, "documents"), _table(spark, sf, "labels")
+    judged = rules.judge(docs, rules.fit(docs, labels.where(hash_class("doc_id", 4) != 2)))
     return judged.select("doc_id", (hash_class("doc_id", 4) == 2).alias("held_out"), "score", "predicted")
 
 
 QUERIES = {
     "op1_language": op1_language,
     "op2_sentencepiece": op2_sentencepiece,
+    "op3_class_model": op3_class_model,
+    "op4_bagminhash": op4_bagminhash,
+    "op5_token_counts": op5_token_counts,
+    "op6_decontamination": op6_decontamination,
     "op7_chat": op7_chat,
     "op8_quality_rules": op8_quality_rules,
     "op9_packed_ids": op9_packed_ids,

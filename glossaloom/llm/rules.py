@@ -109,10 +109,10 @@ class RuleModel:
 
 
 def fit(
-    table: DataFrame, labels: DataFrame, id_col: str = "doc_id", label_col: str = "quality", rows: int = 20_000, trees: int = 20, depth: int = 3,
-    lasso: float = 0.002, seed: int = 7,
+    docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", rows: int = 20_000,
+    trees: int = 20, depth: int = 3, lasso: float = 0.002, seed: int = 7,
 ) -> RuleModel:
-    """Learn from the statistics of labelled rows, at most about ``rows`` of them, chosen by a hash of the id.
+    """Learn from the statistics of labelled texts, about ``rows`` of them at most, chosen by a hash of the id.
 
     An id with several labels has their majority (1 on a tie); null labels are not labels.  Without labels the score is one half
     everywhere; where all labels agree it is their smoothed share.
@@ -122,7 +122,8 @@ def fit(
     count = wanted.count()
     place = F.pmod(F.xxhash64(F.col("key").cast("string"), F.lit("labels")), F.lit(1 << 30)) / F.lit(float(1 << 30))
     wanted = wanted.where(place < rows / max(count, 1))
-    chosen = written(table.join(wanted, F.col(id_col) == F.col("key")).select("label", *STATISTICS).repartition(6), "labelled")
+    texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(F.broadcast(wanted), F.col("id") == F.col("key"))
+    chosen = written(text_table(texts, "label", "text"), "labelled").repartition(6)
     kinds = {r.label: r["count"] for r in chosen.groupBy("label").count().collect()}
     total, good = sum(kinds.values()), kinds.get(1.0, 0)
     if len(kinds) < 2:
@@ -140,14 +141,10 @@ def fit(
     return RuleModel(float(line.intercept), [(r, float(w)) for r, w in zip(rules, line.coefficients.toArray()) if w])
 
 
-def judge(
-    docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", least: float = 0.7, **fitting,
-) -> DataFrame:
+def judge(docs: DataFrame, model: RuleModel, id_col: str = "doc_id", text_col: str = "text", least: float = 0.7) -> DataFrame:
     """(id, statistics, score, predicted) for every row, repeated rows included; ``predicted`` is 1 from a score of ``least``.
 
-    ``labels`` are the labels to learn from.  Null and empty texts are scored by the statistics of an empty text.  The texts
-    are read once, for the statistics; only ids and statistics of labelled rows are shuffled.
+    Null and empty texts are scored by the statistics of an empty text.  Nothing is shuffled.
     """
-    table = written(text_table(docs, id_col, text_col), "statistics")
-    model = fit(table, labels, id_col, label_col, **fitting)
-    return table.withColumn("score", model.score()).withColumn("predicted", (F.col("score") >= least).cast("int"))
+    judged = text_table(docs, id_col, text_col).withColumn("score", model.score())
+    return judged.withColumn("predicted", (F.col("score") >= least).cast("int"))

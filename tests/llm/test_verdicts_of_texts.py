@@ -123,7 +123,7 @@ def test_rule_quality_query(spark):
 def test_rule_quality_without_labels_and_awkward_rows(spark):
     docs = spark.createDataFrame([(1, None, 3.0), (2, "", 3.0), (3, "a b", 3.0), (3, "a b", 3.0)], "doc_id long, text string, score double")
     none = spark.createDataFrame([(1, None)], "doc_id long, quality int")
-    assert [r.score for r in rules.judge(docs, none).collect()] == [0.5] * 4
+    assert [r.score for r in rules.judge(docs, rules.fit(docs, none)).collect()] == [0.5] * 4
     one = spark.createDataFrame([(1, 1), (1, 1), (3, 1)], "doc_id long, quality int")
-    assert all(0.5 < r.score < 1 for r in rules.judge(docs, one).collect())
-    assert rules.judge(docs.limit(0), one).count() == 0
+    assert all(0.5 < r.score < 1 for r in rules.judge(docs, rules.fit(docs, one)).collect())
+    assert rules.judge(docs.limit(0), rules.fit(docs.limit(0), one)).count() == 0
