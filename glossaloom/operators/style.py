@@ -116,7 +116,7 @@ def exemplars(chapters: DataFrame, per_scene: int = 3, embed_fn: Callable[[list[
 
 # --------------------------------------------------------------------------- exact top-k against a bank
 
-BANK_BLOCK = 20_000
+BANK_BLOCK = 5_000
 
 
 def top_k(
@@ -134,87 +134,66 @@ def top_k(
     ``queries`` has ``by, query_id, features``, ``bank`` the same with ``item_id``; features are distinct
     tokens (``jaccard``) or vectors (``cosine``), ``bonus`` names a bank column added to the score.  Ties go
     to the smaller ``item_id``.  ``earlier`` names a bank number that must be below a query number (bank column,
-    query column).  The bank is read in blocks of at most ``block`` items; each block is
-    shipped to the tasks, scores its queries there and returns k rows per query, so neither a pair list nor
-    a group larger than a block ever exists.
+    query column).  Both sides are dealt by hash into blocks of about ``block`` rows; each query block meets each
+    bank block in a task and keeps k rows a query, so no pair list exists and nothing passes through the driver.
     """
     by = by or []
-    bank = bank.select(
-        *by, "item_id", "features", (F.col(bonus) if bonus else F.lit(0.0)).cast("double").alias("bonus"),
-        (F.col(earlier[0]) if earlier else F.lit(0)).cast("double").alias("number"),
+    number = F.col(earlier[0]) if earlier else F.lit(0)
+    below = F.col(earlier[1]) if earlier else F.lit(float("inf"))
+    extra = F.col(bonus) if bonus else F.lit(0.0)
+    bank = cut(bank.select(*by, "item_id", "features", extra.cast("double").alias("bonus"), number.cast("double").alias("number")))
+    asked = cut(queries.select(*by, "query_id", "features", below.cast("double").alias("below")).where("features is not null"))
+    blocks = lambda df: max(1, -(-(df.groupBy(*by).count().agg(F.max("count")).head()[0] or 0) // block))
+    n_bank, n_asked = blocks(bank), blocks(asked)
+    deal = lambda df, key, own, n, other, m: df.withColumn(own, F.pmod(F.xxhash64(key), F.lit(n))).withColumn(
+        other, F.explode(F.sequence(F.lit(0), F.lit(m - 1)))
     )
-    n_items = bank.count()
-    n_blocks = max(1, -(-n_items // block))
-    if n_blocks > 1:
-        bank = cut(bank.withColumn("_block", F.pmod(F.xxhash64(*by, "item_id"), F.lit(2 * n_blocks))))
+    cell = [*by, "_bank", "_asked"]
+    left = deal(asked, "query_id", "_asked", n_asked, "_bank", n_bank).withColumn("_bank", F.col("_bank").cast("bigint"))
+    right = deal(bank, "item_id", "_bank", n_bank, "_asked", n_asked).withColumn("_asked", F.col("_asked").cast("bigint"))
     schema = T.StructType(
-        [queries.schema[c] for c in by]
-        + [queries.schema["query_id"], T.StructField("item_id", bank.schema["item_id"].dataType), T.StructField("score", T.DoubleType())]
+        [asked.schema[c] for c in by]
+        + [asked.schema["query_id"], T.StructField("item_id", bank.schema["item_id"].dataType), T.StructField("score", T.DoubleType())]
     )
-    limit = F.col(earlier[1]).cast("double") if earlier else F.lit(float("inf"))
-    asked = queries.select(*by, "query_id", "features", limit.alias("below"))
-    parts = []
-    for b in range(2 * n_blocks if n_blocks > 1 else 1):
-        rows = (bank.where(F.col("_block") == b) if n_blocks > 1 else bank).orderBy("item_id").collect()
-        if rows:
-            parts.append(asked.mapInPandas(_block_scorer(rows, by, k, method), schema))
-    if not parts:
-        return asked.select(*by, "query_id").limit(0).select(
-            *by, "query_id", F.lit(None).cast(schema["item_id"].dataType).alias("item_id"), F.lit(0.0).alias("score"), F.lit(0).alias("rank")
-        )
-    merged = parts[0]
-    for part in parts[1:]:
-        merged = merged.unionByName(part)
-    return first_rows(merged, [*by, "query_id"], [F.col("score").desc(), F.col("item_id")], k, "rank")
-
-
-def _block_scorer(rows: list, by: list[str], k: int, method: str) -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]:
-    groups: dict[tuple, list] = {}
-    for r in rows:
-        groups.setdefault(tuple(r[c] for c in by), []).append((r["item_id"], r["features"], r["bonus"], r["number"]))
-
-    def score(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        prepared: dict[tuple, tuple] = {}
-        for key, items in groups.items():
-            ids = [i[0] for i in items]
-            extra, numbers = np.array([i[2] for i in items]), np.array([i[3] for i in items])
-            if method == "cosine":
-                matrix = np.array([i[1] for i in items], dtype=np.float64)
-                norms = np.sqrt((matrix * matrix).sum(axis=1))
-                prepared[key] = (ids, extra, numbers, matrix, norms)
-            else:
-                postings: dict[str, list[int]] = {}
-                for j, item in enumerate(items):
-                    for t in item[1]:
-                        postings.setdefault(t, []).append(j)
-                sizes = np.array([len(i[1]) for i in items], dtype=np.float64)
-                prepared[key] = (ids, extra, numbers, {t: np.array(p) for t, p in postings.items()}, sizes)
-        for frame in frames:
-            out = []
-            for row in frame.itertuples(index=False):
-                key = tuple(getattr(row, c) for c in by)
-                if key not in prepared or row.features is None:
-                    continue
-                ids, extra, numbers, index, sizes = prepared[key]
-                if method == "cosine":
-                    q = np.asarray(row.features, dtype=np.float64)
-                    norm = np.sqrt((q * q).sum())
-                    dots = index @ q
-                    denominator = sizes * norm
-                    values = np.divide(dots, denominator, out=np.zeros_like(dots), where=denominator > 0) + extra
-                else:
-                    shared = np.zeros(len(ids))
-                    for t in row.features:
-                        if t in index:
-                            shared[index[t]] += 1
-                    union = sizes + len(row.features) - shared
-                    both = (sizes > 0) & (len(row.features) > 0)
-                    values = np.divide(shared, union, out=np.zeros_like(shared), where=both & (union > 0)) + extra
-                # Items arrive in id order, so a stable sort keeps ties in that order.
-                open_items = numbers < row.below
-                for j in np.argsort(-np.where(open_items, values, -np.inf), kind="stable")[: min(k, int(open_items.sum()))]:
-                    out.append((*key, row.query_id, ids[j], float(values[j])))
-            yield pd.DataFrame(out, columns=[*by, "query_id", "item_id", "score"])
+    met = left.groupBy(*cell).cogroup(right.groupBy(*cell)).applyInPandas(_cell_scorer(by, k, method), schema)
+    return first_rows(met, [*by, "query_id"], [F.col("score").desc(), F.col("item_id")], k, "rank")
+
+
+def _similarities(queries: pd.Series, items: pd.Series, method: str) -> Iterator[np.ndarray]:
+    """For each query its similarity to all items: cosine of vectors, or Jaccard over distinct tokens."""
+    if method == "cosine":
+        matrix = np.array(items.to_list(), dtype=np.float64)
+        norms = np.sqrt((matrix * matrix).sum(axis=1))
+        for features in queries:
+            q = np.asarray(features, dtype=np.float64)
+            dots, scale = matrix @ q, norms * np.sqrt((q * q).sum())
+            yield np.divide(dots, scale, out=np.zeros_like(dots), where=scale > 0)
+        return
+    sizes = items.map(len).to_numpy(np.float64)
+    places = pd.Series(np.repeat(np.arange(len(items)), sizes.astype(int)), index=np.concatenate([np.asarray(t, object) for t in items]))
+    holders = {token: at.to_numpy() for token, at in places.groupby(level=0)}
+    for features in queries:
+        met = [holders[t] for t in features if t in holders]
+        shared = np.bincount(np.concatenate(met), minlength=len(items)).astype(np.float64) if met else np.zeros(len(items))
+        union = sizes + len(features) - shared
+        yield np.divide(shared, union, out=np.zeros_like(shared), where=(union > 0) & (sizes > 0) & (len(features) > 0))
+
+
+def _cell_scorer(by: list[str], k: int, method: str) -> Callable[[pd.DataFrame, pd.DataFrame], pd.DataFrame]:
+    """Scores the queries of one block against the items of one block."""
+
+    def score(asked: pd.DataFrame, bank: pd.DataFrame) -> pd.DataFrame:
+        columns, found = [*by, "query_id", "item_id", "score"], []
+        bank = bank[bank["features"].notna()].sort_values("item_id", kind="stable")
+        if bank.empty or asked.empty:
+            return pd.DataFrame(found, columns=columns)
+        ids, bonus, numbers = bank["item_id"].to_numpy(), bank["bonus"].to_numpy(), bank["number"].to_numpy()
+        for row, values in zip(asked.to_dict("records"), _similarities(asked["features"], bank["features"], method)):
+            open_items = numbers < row["below"]
+            # items lie in id order, so a stable sort keeps ties in it
+            best = np.argsort(-np.where(open_items, values + bonus, -np.inf), kind="stable")[: min(k, int(open_items.sum()))]
+            found += [(*(row[c] for c in by), row["query_id"], ids[j], float(values[j] + bonus[j])) for j in best]
+        return pd.DataFrame(found, columns=columns)
 
     return score
 
