@@ -277,8 +277,9 @@ def flag_for_review(policies: DataFrame) -> DataFrame:
         .groupBy("novel", "type", "word")
         .agg(F.min("rank").alias("of_rank"))
     )
-    word = F.when(F.size(words) == 1, F.get(words, F.lit(0)))
-    flagged = policies.withColumn("word", word).join(longer, ["novel", "type", "word"], "left").drop("word")
+    lone = policies.where(F.size(words) == 1).withColumn("word", F.get(words, F.lit(0)))
+    others = policies.where(F.coalesce(F.size(words) != 1, F.lit(True))).withColumn("of_rank", F.lit(None).cast(longer.schema["of_rank"].dataType))
+    flagged = lone.join(longer, ["novel", "type", "word"], "left").drop("word").unionByName(others)
     low = F.col("confidence") < REVIEW_CONFIDENCE
     ambiguous = F.col("of_rank").isNotNull()
     note = F.concat_ws(

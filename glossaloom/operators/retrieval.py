@@ -160,11 +160,11 @@ def find_spans(texts: DataFrame, policies: DataFrame, forms: DataFrame) -> DataF
 def contains_join(texts: DataFrame, phrases: DataFrame, keys: list[str], phrase: str, limit: int = SMALL_ROWS) -> DataFrame:
     """``texts`` rows with each phrase of their ``keys`` group that they contain, ignoring case.
 
-    ``texts`` has ``keys, text``.  A phrase list of at most ``limit`` rows is broadcast as one array per
+    ``texts`` has ``keys, text``; a phrase row that repeats counts once.  A phrase list of at most ``limit`` rows is broadcast as one array per
     group; a longer one is joined on the first three characters of each phrase, then verified.
     """
     extra = [c for c in phrases.columns if c not in keys]
-    known = phrases.where(F.col(phrase) != "")
+    known = phrases.where(F.col(phrase) != "").distinct()
     within = lambda text, p: F.contains(F.lower(text), F.lower(p))
     if known.limit(limit + 1).count() <= limit:
         lists = known.groupBy(*keys).agg(F.collect_list(F.struct(*extra)).alias("_all"))

@@ -67,6 +67,13 @@ def latest_before(df: DataFrame, by: str, number: str, known: Column) -> DataFra
     return marks.join(spans, [by, "_span"]).select(by, number, F.coalesce("at", "_carried").alias("at"))
 
 
+def last_of(changes: DataFrame, key: list[str], order: str | None = None) -> DataFrame:
+    """One row per ``key``: the last by column ``order``; equal or absent orders are settled by the greatest row."""
+    row = F.struct(*[c for c in changes.columns if c not in key])
+    by = F.struct(F.col(order), row) if order else row
+    return changes.groupBy(*key).agg(F.max_by(row, by).alias("_last")).select(*key, "_last.*").select(*changes.columns)
+
+
 def first_rows(df: DataFrame, by: list[str], order: list[Column], k: int, rank: str | None = None) -> DataFrame:
     """The first ``k`` rows per group; Spark limits each map partition to ``k`` before the shuffle."""
     name = rank or "_rn"

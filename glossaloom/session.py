@@ -15,6 +15,8 @@ COMMON_CONF = {
     "spark.sql.execution.arrow.pyspark.enabled": "true",
     # Text rows are wide: keep Arrow batches small so a batch of long chapters fits a worker.
     "spark.sql.execution.arrow.maxRecordsPerBatch": "1000",
+    # Checkpoints of finished steps go when nothing refers to them.
+    "spark.cleaner.referenceTracking.cleanCheckpoints": "true",
     "spark.sql.sources.partitionOverwriteMode": "dynamic",
 }
 

@@ -6,9 +6,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.utils import AnalysisException
 
+from glossaloom.operators.mining import Mined
+from glossaloom.plans.ordered import last_of
+
 
 POLICY_JSON = (
-    "id STRING, type STRING, trigger STRING, action STRING, confidence DOUBLE, evidence ARRAY<BIGINT>, match ARRAY<STRING>, "
+    "id STRING, novel STRING, type STRING, trigger STRING, action STRING, confidence DOUBLE, evidence ARRAY<BIGINT>, match ARRAY<STRING>, "
     "applies STRING, scores MAP<STRING,DOUBLE>, category STRING, note STRING, needs_review BOOLEAN, llm_rejected BOOLEAN, "
     "contexts ARRAY<STRING>, metadata MAP<STRING,STRING>"
 )
@@ -31,6 +34,32 @@ def read_policies(spark: SparkSession, path: str) -> DataFrame:
     return with_policy_defaults(rows)
 
 
+#: Names of the engine's columns in policy files, and the way back.
+_FILE_NAMES = {"policy_id": "id", "rejected": "llm_rejected"}
+
+
+def read_store(spark: SparkSession, path: str) -> Mined:
+    """The policies, forms, evidence and contexts of a file that ``write_store`` wrote, lists spread into rows again."""
+    rows = read_policies(spark, path)
+    for engine, name in _FILE_NAMES.items():
+        rows = rows.withColumnRenamed(name, engine)
+    key = ["novel", "policy_id"]
+    spread = lambda c, pos, value: rows.select(*key, F.posexplode(c).alias("pos", value)).withColumn("pos", (F.col("pos") + pos).cast("bigint"))
+    return Mined(
+        rows.withColumn("evidence_count", F.size("evidence").cast("bigint")).drop("match", "evidence", "contexts", "action"),
+        spread("match", 0, "form"), rows.select(*key, F.explode("evidence").alias("chapter")), spread("contexts", 1, "context"),
+    )
+
+
+def write_store(store: Mined, path: str) -> None:
+    """All policies of a store, rejected ones with their mark, as policy files."""
+    whole = store.assembled()
+    whole = whole.withColumn("action", F.struct(F.col("render_as").alias("render_as"))).drop("render_as", "evidence_count", "rank")
+    for engine, name in _FILE_NAMES.items():
+        whole = whole.withColumnRenamed(engine, name)
+    write_policies(whole, path)
+
+
 def with_policy_defaults(rows: DataFrame) -> DataFrame:
     return (
         rows.withColumn("render_as", render_as())
@@ -80,9 +109,10 @@ def write_policies(policies: DataFrame, path: str) -> None:
     policies.orderBy(F.col("confidence").desc()).select(*columns).write.mode("overwrite").option("ignoreNullFields", "true").json(path)
 
 
-def read_glossary(spark: SparkSession, path: str) -> DataFrame:
-    """A glossary written as one JSON array or as JSON lines."""
-    return spark.read.schema(GLOSSARY_JSON).option("multiLine", "true").json(path).where("canonical is not null")
+def read_glossary(spark: SparkSession, path: str, layout: str = "lines") -> DataFrame:
+    """A glossary written as JSON lines (what ``write_json`` writes), or with ``layout="array"`` as one JSON array a file."""
+    whole_files = {"lines": "false", "array": "true"}[layout]
+    return spark.read.schema(GLOSSARY_JSON).option("multiLine", whole_files).json(path).where("canonical is not null")
 
 
 def write_json(df: DataFrame, path: str, by: list[str] | None = None) -> None:
@@ -103,14 +133,27 @@ def read_known_errors(spark: SparkSession, path: str) -> DataFrame:
 # --------------------------------------------------------------------------- tables on storage
 
 
-def upsert(current: DataFrame, changes: DataFrame, key: list[str]) -> DataFrame:
-    """``current`` with rows of ``changes`` inserted or replaced by key (the last change of a key, if repeated)."""
-    latest = changes.dropDuplicates(key)
+def upsert(current: DataFrame, changes: DataFrame, key: list[str], order: str | None = None) -> DataFrame:
+    """``current`` with rows of ``changes`` inserted or replaced by key.
+
+    Of repeated keys the last change by column ``order`` counts (the greatest row, where there is no order).
+    """
+    latest = last_of(changes, key, order)
+    latest = latest.drop(order) if order and order not in current.columns else latest
     return current.join(latest.select(*key), key, "left_anti").unionByName(latest, allowMissingColumns=True)
 
 
-def replace_novels(df: DataFrame, path: str) -> None:
-    """Replace the partitions of the novels in ``df`` and leave all others."""
+def replace_novels(df: DataFrame, path: str, novels: DataFrame | None = None) -> None:
+    """Replace the partitions of the novels in ``df`` and leave all others.
+
+    ``novels(novel)`` lists what is replaced; one of them without rows in ``df`` loses its old rows too.
+    """
+    if novels is not None:
+        spark, gone = df.sparkSession, novels.select("novel").distinct().join(df.select("novel").distinct(), "novel", "left_anti")
+        files = spark._jvm.org.apache.hadoop.fs
+        for row in gone.toLocalIterator():
+            folder = files.Path(f"{path}/novel={spark._jvm.org.apache.spark.sql.catalyst.catalog.ExternalCatalogUtils.escapePathName(row.novel)}")
+            folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
     df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("novel").parquet(path)
 
 
