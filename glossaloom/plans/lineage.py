@@ -32,12 +32,6 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def bounded_rows(df: DataFrame, limit: int = SMALL_ROWS) -> list | None:
-    """The rows of ``df`` if there are at most ``limit`` of them, else None (nothing is dropped)."""
-    rows = df.limit(limit + 1).collect()
-    return rows if len(rows) <= limit else None
-
-
 def spread(df: DataFrame) -> DataFrame:
     """Deal the rows of a small table out to all cores.
 

@@ -18,6 +18,20 @@ def policy_lookup(spark, sf):
     return G.lookup(policy_rows(spark, sf), policy_form_rows(spark, sf), wanted).select("query", "policy_id", "trigger")
 
 
+def policies_by_confidence(spark, sf):
+    return G.policies_by_confidence(policy_rows(spark, sf)).select("novel", "policy_id", "place")
+
+
+def entries_by_name(spark, sf):
+    return G.entries_by_name(glossary_rows(spark, sf)).select("novel", "entry_id", "place")
+
+
+def snippets_by_position(spark, sf):
+    """Every conversation turn as a curated line of its role."""
+    lines = table(spark, sf, "conversations").select(F.col("role").alias("novel"), F.struct("conv_id", "turn").alias("pos"), "text")
+    return G.snippets_by_position(lines).select("novel", "pos.conv_id", "pos.turn", "place", F.md5("text").alias("text_md5"))
+
+
 def glossary_view(spark, sf):
     return G.glossary_view(policy_rows(spark, sf)).select("novel", "canonical", "needs_review", F.round("confidence", 6).alias("confidence"))
 
@@ -112,23 +126,36 @@ def character_records(spark, sf):
     )
 
 
-def review_prompts(spark, sf):
-    """Prompt sizes of the verdict batches over all policies."""
+def _whole_store(spark, sf):
+    """All policies, each with one chapter and one context."""
     from glossaloom.operators.mining import Mined
     from glossaloom.plans.ordered import ranked
 
     p = ranked(policy_rows(spark, sf).drop("rank"), "novel", [F.col("confidence").desc(), F.col("policy_id")])
     none = p.select("novel", "policy_id")
-    store = Mined(p, policy_form_rows(spark, sf), none.withColumn("chapter", F.lit(1).cast("bigint")), none.select("*", F.lit(1).alias("pos"), F.lit("seen").alias("context")))
-    return V.verdict_prompts(store).select("novel", "batch", F.size("ids").alias("n_policies"), F.md5(F.array_join("ids", ",")).alias("ids_md5"))
+    return Mined(p, policy_form_rows(spark, sf), none.withColumn("chapter", F.lit(1).cast("bigint")), none.select("*", F.lit(1).alias("pos"), F.lit("seen").alias("context")))
+
+
+def _batches(prompts):
+    return prompts.select("novel", "batch", F.size("ids").alias("n_policies"), F.md5(F.array_join("ids", ",")).alias("ids_md5"))
+
+
+def verdict_prompts(spark, sf):
+    """The batches of verdict prompts over all policies."""
+    return _batches(V.verdict_prompts(_whole_store(spark, sf)))
+
+
+def review_prompts(spark, sf):
+    """The batches of review prompts over the doubtful policies."""
+    return _batches(V.review_prompts(_whole_store(spark, sf)))
 
 
 QUERIES = {
     f.__name__: f
     for f in (
-        policy_lookup, glossary_view, glossary_aliases, verified_glossary, protected_terms, glossary_search, character_view, average_confidence,
+        policy_lookup, policies_by_confidence, entries_by_name, snippets_by_position, glossary_view, glossary_aliases, verified_glossary, protected_terms, glossary_search, character_view, average_confidence,
         policy_upsert, verdicts_applied, verdict_counts, merge_roots, related_policies, duplicate_entries, merged_glossary, character_records,
-        review_prompts,
+        verdict_prompts, review_prompts,
     )
 }
 
@@ -143,6 +170,10 @@ SQL = {
     "policy_lookup": _P + r""", q as (select distinct regexp_extract(text, '^[^\p{L}\p{N}_]*([\p{L}\p{N}_]+)', 1) as query from benchmark),
 idx as (select distinct policy_id, lower(form) as k from frm where novel = 'en')
 select query, policy_id, trigger from q join idx on idx.k = lower(query) join pol using (policy_id)""",
+    "policies_by_confidence": _P + "select novel, policy_id, row_number() over (partition by novel order by confidence desc, policy_id) as place from pol",
+    "entries_by_name": _P + "select lang as novel, doc_id as entry_id, row_number() over (partition by lang order by lower(name), doc_id) as place from named",
+    "snippets_by_position": """select role as novel, conv_id, turn, row_number() over (partition by role order by conv_id, turn, text) as place, md5(text) as text_md5
+from conversations""",
     "glossary_view": _P + "select novel, trigger as canonical, needs_review, round(confidence, 6) as confidence from pol where not rejected",
     "glossary_aliases": _P + "select novel, policy_id, form as alias from frm join pol using (novel, policy_id) where not rejected and form <> trigger",
     "verified_glossary": _P + """select lang as novel, doc_id as entry_id, name as canonical from named
@@ -196,6 +227,9 @@ select coalesce(k.name, sm.name) as name,
   case when k.name is null then false else verified and ct is null end as verified, k.name is null as is_new,
   nullif(ns, '') as new_speech, nullif(ni, '') as new_identity, coalesce(case when q = 0 then 1 else q end, 0)::int as n_quotes
 from known k full join sm on k.name = sm.name""",
-    "review_prompts": _P + """, r as (select *, row_number() over (partition by novel order by confidence desc, policy_id) as k from pol)
+    "review_prompts": _P + """, r as (select *, row_number() over (partition by novel order by confidence desc, policy_id) as k from pol),
+d as (select *, row_number() over (partition by novel order by k) as place from r where needs_review and not rejected)
+select novel, floor((place - 1) / 20)::bigint as batch, count(*)::int as n_policies, md5(string_agg(policy_id, ',' order by place)) as ids_md5 from d group by all""",
+    "verdict_prompts": _P + """, r as (select *, row_number() over (partition by novel order by confidence desc, policy_id) as k from pol)
 select novel, floor((k - 1) / 20)::bigint as batch, count(*)::int as n_policies, md5(string_agg(policy_id, ',' order by k)) as ids_md5 from r group by all""",
 }

@@ -124,7 +124,7 @@ def test_reference_alignment_and_integrity(spark):
     ).collect()[0]
     assert got.a == ["r1", "r2", "r2"] and got.v == ["fewer paragraphs", "numbers lost: 7"] and got.e == ["no output"]
     assert got.t == "Body." and got.tail == "one"
-    assert W.checked_reply("First 7 and 7.\n\nSecond.", "First 7.")[1] == got.v
+    assert C.plain_reply("First 7 and 7.\n\nSecond.", "First 7.")[1] == got.v
 
 
 def test_rewrite_with_a_model(spark):
