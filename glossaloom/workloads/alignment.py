@@ -32,9 +32,9 @@ def _bank(spark, sf):
 
 
 def _names(spark, sf):
-    """The first word of each benchmark passage stands for a glossary name."""
-    first = F.regexp_extract("text", "^([A-Z][a-z]{2,})", 1)
-    items = table(spark, sf, "benchmark").select("item_id", first.alias("name")).where("name <> ''")
+    """The capitalised words of all benchmark passages stand for glossary names."""
+    words = F.regexp_extract_all("text", F.lit("([A-Z][a-z]{2,})"), 1)
+    items = table(spark, sf, "benchmark").select("item_id", F.explode(words).alias("name"))
     return items.groupBy("name").agg(F.min("item_id").alias("pos")).select(F.lit("talk").alias("novel"), "pos", "name")
 
 
@@ -104,8 +104,8 @@ _TURNS = """talk as (select a.conv_id, a.turn, a.conv_id * 1000 + a.turn as chap
 _THREE = """three as (select a.conv_id * 1000 + a.turn as chapter, a.text as generated, o.text as original, m.text as mtl from conversations a
   left join conversations o on a.conv_id = o.conv_id and o.turn = a.turn + 1
   left join conversations m on a.conv_id = m.conv_id and m.turn = a.turn - 1 where a.role = 'assistant')"""
-_NAMES = """names as (select name, min(item_id) as pos from (select item_id, regexp_extract(text, '^([A-Z][a-z]{2,})', 1) as name from benchmark)
-  where name <> '' group by name)"""
+_NAMES = """names as (select name, min(item_id) as pos from (select item_id, unnest(regexp_extract_all(text, '[A-Z][a-z]{2,}')) as name from benchmark)
+  group by name)"""
 
 
 def _cosine(name: str, relation: str, key: str, a: str, b: str) -> str:

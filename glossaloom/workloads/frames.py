@@ -8,6 +8,10 @@ from pyspark.sql import functions as F
 from glossaloom.plans.lineage import spread
 
 
+#: The last capitalised word of a whole text, and the word that follows it.
+LAST_NAME = r"(?s)^(?:.*[^\p{L}\p{N}_])?(\p{Lu}[\p{L}\p{N}_]*(?: [\p{L}\p{N}_]+)?)"
+
+
 def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf}/{name}.parquet")
 
@@ -48,7 +52,7 @@ def stored(spark: SparkSession, sf: str) -> DataFrame:
         F.when(F.col("lang") == "en", "original").otherwise("mtl").alias("source_type"),
         F.col("text").alias("raw_text"),
         F.when(good, F.col("text")).alias("refined_text"),
-        F.when(F.col("toxic") == 1, F.substring("text", 1, 20)).alias("summary"),
+        F.when(F.col("toxic") == 1, F.md5("text")).alias("summary"),
         F.when(F.col("quality") == 1, "completed").when(F.col("quality") == 0, "failed").when(F.col("n_chars") > 1000, "queued")
         .otherwise("pending").alias("status"),
     )
@@ -70,14 +74,14 @@ def jobs(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def policy_rows(spark: SparkSession, sf: str) -> DataFrame:
-    """A policy per document: its first two words, weighed by length, flagged by its labels."""
+    """A policy per document: the last capitalised name of its text, weighed by length, flagged by its labels."""
     docs, labels = table(spark, sf, "documents"), table(spark, sf, "labels")
     return docs.join(labels, "doc_id", "left").select(
         F.col("lang").alias("novel"),
         F.concat(F.lit("d_"), F.col("doc_id").cast("string")).alias("policy_id"),
         F.lit("entity-naming").alias("type"),
-        F.regexp_extract("text", r"(?U)^\W*(\w+(?: \w+)?)", 1).alias("trigger"),
-        F.regexp_extract("text", r"(?U)^\W*(\w+(?: \w+)?)", 1).alias("render_as"),
+        F.regexp_extract("text", LAST_NAME, 1).alias("trigger"),
+        F.regexp_extract("text", LAST_NAME, 1).alias("render_as"),
         F.when(F.col("n_chars") > 500, "deterministic").otherwise("prompted").alias("applies"),
         (F.col("n_chars") / (F.col("n_chars") + 1000)).alias("confidence"),
         F.col("n_chars").alias("evidence_count"),
@@ -96,11 +100,11 @@ def policy_form_rows(spark: SparkSession, sf: str) -> DataFrame:
 
 def glossary_rows(spark: SparkSession, sf: str) -> DataFrame:
     docs = table(spark, sf, "documents")
-    name = F.regexp_extract("text", r"(?U)^\W*(\w+(?: \w+)?)", 1)
+    name = F.regexp_extract("text", LAST_NAME, 1)
     return docs.select(
         F.col("lang").alias("novel"), F.col("doc_id").alias("entry_id"), name.alias("canonical"),
         F.array(F.substring_index(name, " ", 1)).alias("aliases"), F.lit("entity").alias("entity_type"), F.lit(0.9).alias("confidence"),
-        F.array(F.substring("text", 1, 40)).alias("evidence_contexts"),
+        F.array(F.md5("text")).alias("evidence_contexts"),
         F.create_map(F.lit("gender"), F.when(F.col("n_chars") > 500, "female").otherwise("")).alias("metadata"),
     )
 

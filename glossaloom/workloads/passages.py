@@ -73,14 +73,14 @@ def shield_round_trip(spark, sf):
 
 
 def known_phrases(spark, sf):
-    """Documents that hold the opening of a benchmark passage, found as error phrases."""
-    rules = table(spark, sf, "benchmark").select(F.col("item_id").cast("string").alias("id"), F.substring("text", 1, 30).alias("mtl_phrase"))
+    """Documents that hold a whole benchmark passage, found as error phrases."""
+    rules = table(spark, sf, "benchmark").select(F.col("item_id").cast("string").alias("id"), F.col("text").alias("mtl_phrase"))
     return S.scan_known_errors(chapters(spark, sf), rules).select("novel", "chapter", "id")
 
 
 def corrected_phrases(spark, sf):
     rules = table(spark, sf, "benchmark").select(
-        F.col("item_id").cast("string").alias("id"), F.regexp_extract("text", r"^\w+ \w+ \w+", 0).alias("mtl_phrase"),
+        F.col("item_id").cast("string").alias("id"), F.col("text").alias("mtl_phrase"),
         F.lit("<fixed>").alias("correct_translation"), F.lit(None).cast("boolean").alias("auto_apply"),
     ).where("mtl_phrase <> ''")
     guard = chapters(spark, sf).select("novel").distinct().withColumn("form", F.lit("of the"))
@@ -189,7 +189,7 @@ from hit join length_before b using (novel, chapter, i) where applies = 'determi
     "shield_mapping": _SEQ_LIGHT + """, f as (select novel, chapter, trigger as canonical, min(i) as first from hit group by all)
 select novel, chapter, canonical, '__ENT_' || (row_number() over (partition by novel, chapter order by first) - 1) || '__' as placeholder from f""",
     "shield_round_trip": "select lang as novel, doc_id + 1 as chapter, md5(lower(text)) as text_md5 from documents",
-    "known_phrases": """select lang as novel, doc_id + 1 as chapter, item_id::varchar as id from documents d join benchmark b on contains(lower(d.text), lower(b.text[:30]))""",
+    "known_phrases": """select lang as novel, doc_id + 1 as chapter, item_id::varchar as id from documents d join benchmark b on contains(lower(d.text), lower(b.text))""",
     "cleaned_texts": f"select lang as novel, doc_id + 1 as chapter, md5({_CLEANED}) as text_md5 from documents",
     "continuity_tails": f"""with talk as (select a.conv_id, a.turn, b.text as source from conversations a join conversations b on a.conv_id = b.conv_id and b.turn = a.turn - 1 where a.role = 'assistant'),
 p as (select conv_id, turn, {_PARA.format(c='source')} as p from talk)

@@ -153,7 +153,7 @@ QUERIES = {
 
 _S = """with st as (select d.doc_id as chapter_id, source as novel, floor(d.doc_id / 40)::bigint + 1 as number,
   case when lang = 'en' then 'original' else 'mtl' end as source_type, text as raw_text,
-  case when quality = 1 then text end as refined_text, case when toxic = 1 then text[:20] end as summary,
+  case when quality = 1 then text end as refined_text, case when toxic = 1 then md5(text) end as summary,
   case when quality = 1 then 'completed' when quality = 0 then 'failed' when n_chars > 1000 then 'queued' else 'pending' end as status
   from documents d left join labels l on d.doc_id = l.doc_id),
 nov as (select source as novel, max(doc_id) as created_at, max(lang) as source_language from documents group by source),

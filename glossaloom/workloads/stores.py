@@ -159,7 +159,7 @@ QUERIES = {
     )
 }
 
-_P = r"""with named as (select *, regexp_extract(text, '^[^\p{L}\p{N}_]*([\p{L}\p{N}_]+(?: [\p{L}\p{N}_]+)?)', 1) as name from documents),
+_P = r"""with named as (select *, regexp_extract(text, '(?s)^(?:.*[^\p{L}\p{N}_])?(\p{Lu}[\p{L}\p{N}_]*(?: [\p{L}\p{N}_]+)?)', 1) as name from documents),
 pol as (select lang as novel, 'd_' || doc_id as policy_id, name as trigger, n_chars / (n_chars + 1000) as confidence, n_chars > 500 as det,
   coalesce(quality = 0, false) as needs_review, coalesce(toxic = 1, false) as rejected, doc_id + 1 as rank, source from named left join labels using (doc_id)),
 frm as (select distinct novel, policy_id, unnest([trigger, split_part(trigger, ' ', 1)]) as form from pol),
@@ -201,13 +201,13 @@ select a.novel, a.policy_id, b.policy_id as related_id from t a join t b on a.no
 src as (select n.*, target_id from named n join heads using (lang, source)),
 alias as (select target_id, unnest([name, split_part(name, ' ', 1)]) as a from src),
 al as (select target_id, list_sort(list(distinct a)) as a from alias join named t on t.doc_id = target_id where a <> t.name group by target_id),
-qs as (select target_id, text[:40] as q, min(doc_id) as d from src group by all),
-own as (select doc_id as target_id, text[:40] as q from named),
+qs as (select target_id, md5(text) as q, min(doc_id) as d from src group by all),
+own as (select doc_id as target_id, md5(text) as q from named),
 qr as (select qs.target_id, qs.q, row_number() over (partition by qs.target_id order by d) as k from qs join own on own.target_id = qs.target_id and own.q <> qs.q where qs.q <> ''),
 ev as (select target_id, list(q order by k) as q from qr where k <= 4 group by target_id),
 mt as (select target_id, max(case when n_chars > 500 then 'female' end) as g from src group by target_id)
 select n.lang as novel, target_id as entry_id, name as canonical, array_to_string(coalesce(a, []), '|') as aliases,
-  array_to_string(list_prepend(text[:40], coalesce(ev.q, [])), '|') as evidence, coalesce(mt.g, '') as gender
+  array_to_string(list_prepend(md5(text), coalesce(ev.q, [])), '|') as evidence, coalesce(mt.g, '') as gender
 from named n join heads h on h.target_id = n.doc_id left join al using (target_id) left join ev using (target_id) left join mt using (target_id)""",
     "character_records": r"""with c as (select conv_id, 'Speaker' || conv_id as name, turn, role as gender, text,
   regexp_extract(text, '^[^\p{L}\p{N}_]*([\p{L}\p{N}_]+)', 1) as race, regexp_extract(text, '([\p{L}\p{N}_]+)[^\p{L}\p{N}_]*$', 1) as speech from conversations),
