@@ -40,11 +40,12 @@ def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Leaves the row with the least id of each class of near duplicates."""
-    rows = docs.withColumn("row_number", F.monotonically_increasing_id())
-    named = rows.select(F.struct("doc_id", "row_number").alias("id"), "text")
+    number = "_".join(["row_number", *docs.columns])  # no column of docs has this name
+    rows = docs.withColumn(number, F.monotonically_increasing_id())
+    named = rows.select(F.struct("doc_id", F.col(number).alias("row_number")).alias("id"), "text")
     judged = bagminhash.near_duplicates(named, "id")
-    gone = judged.where("not kept").select(F.col("id.row_number").alias("row_number"))
-    return rows.join(gone, "row_number", "left_anti").drop("row_number")
+    gone = judged.where("not kept").select(F.col("id.row_number").alias(number))
+    return rows.join(gone, number, "left_anti").drop(number)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
