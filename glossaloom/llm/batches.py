@@ -68,19 +68,23 @@ def hash_class(id_col: str, classes: int) -> Column:
 class WordTable:
     """Distinct words and what was computed for each, kept by a Python worker from task to task.
 
-    ``compute`` takes a list of new words and gives a list of values.  At ``limit`` words the table starts afresh:
-    memory is bounded and a word that comes back is computed again, so results never depend on the limit.
+    ``compute`` takes a list of new words and gives a list of values.  At ``limit`` words the table starts afresh and takes
+    from the one before it what comes up again: memory is bounded by two tables, frequent words stay, and a word that is
+    gone is computed again, so results never depend on the limit.
     """
 
-    def __init__(self, compute: Callable[[list[str]], list], limit: int = 300_000):
-        self.compute, self.limit, self.known = compute, limit, {}
+    def __init__(self, compute: Callable[[list[str]], list], limit: int = 400_000):
+        self.compute, self.limit, self.known, self.before = compute, limit, {}, {}
 
     def covering(self, texts_words: list[list[str]]) -> dict:
         """The table, after it has learnt every word of ``texts_words``."""
         wanted = set().union(*texts_words)
-        if len(self.known) + len(wanted) > self.limit:
-            self.known.clear()
-        missing = list(wanted - self.known.keys())
+        missing = wanted.difference(self.known)
+        if len(self.known) + len(missing) > self.limit:
+            self.before, self.known, missing = self.known, {}, wanted
         if missing:
-            self.known.update(zip(missing, self.compute(missing)))
+            kept = {w: self.before[w] for w in missing if w in self.before}
+            fresh = [w for w in missing if w not in kept]
+            self.known |= kept
+            self.known |= zip(fresh, self.compute(fresh))
         return self.known
