@@ -128,6 +128,7 @@ def _concentrated(rows: DataFrame, estimates: DataFrame, share: float) -> DataFr
     """One concentration step: the estimates of each group's ``share`` of rows nearest to the present centre."""
     near = rows.join(estimates, "group").select("group", "x", _distance(F.col("x"), F.col("centre"), F.col("inverse")).alias("d"))
     limits = near.groupBy("group").agg(F.percentile_approx("d", share, 1000).alias("limit"), F.count("*").alias("n"))
+    limits = written(limits, "mcd")
     held = near.join(limits, "group").where("d <= limit")
     x = [F.col("x")[i] for i in range(_SIZE)]
     sums = [F.sum(v).alias(f"s{i}") for i, v in enumerate(x)]
@@ -143,11 +144,13 @@ def minimum_covariance(rows: DataFrame, share: float = 0.75, steps: int = 3) ->
     """(group, n, centre, inverse): minimum covariance determinant estimates over all rows (group, x) of each group.
 
     The start is each group's median and median deviation; ``steps`` concentration steps follow.  Every step is an
-    aggregation that combines before it shuffles, so a group may hold any share of the rows.
+    aggregation that combines before it shuffles, so a group may hold any share of the rows; what is joined to the rows is a
+    written row for each group, which Spark broadcasts while its size allows.
     """
     middle = rows.groupBy("group").agg(
         F.count("*").alias("n"), F.array(*(F.percentile_approx(F.col("x")[i], 0.5, 1000) for i in range(_SIZE))).alias("centre")
     )
+    middle = written(middle, "mcd")
     off = rows.join(middle, "group")
     spread = off.groupBy("group").agg(
         F.first("n").alias("n"), F.first("centre").alias("centre"),
