@@ -123,7 +123,7 @@ def fit(
     place = F.pmod(F.xxhash64(F.col("key").cast("string"), F.lit("labels")), F.lit(1 << 30)) / F.lit(float(1 << 30))
     wanted = wanted.where(place < rows / max(count, 1))
     texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(F.broadcast(wanted), F.col("id") == F.col("key"))
-    chosen = written(text_table(texts, "label", "text"), "labelled").repartition(6)
+    chosen = written(text_table(texts, "label", "text"), "labelled").coalesce(2)  # small: many short jobs follow
     kinds = {r.label: r["count"] for r in chosen.groupBy("label").count().collect()}
     total, good = sum(kinds.values()), kinds.get(1.0, 0)
     if len(kinds) < 2:
@@ -137,7 +137,7 @@ def fit(
     if not rules:
         return RuleModel(float(np.log(good / (total - good))), [])
     held = chosen.select("label", array_to_vector(F.array(*(rule_column(r).cast("double") for r in rules))).alias("rules"))
-    line = LogisticRegression(featuresCol="rules", labelCol="label", elasticNetParam=1.0, regParam=lasso, maxIter=60, standardization=False).fit(held)
+    line = LogisticRegression(featuresCol="rules", labelCol="label", elasticNetParam=1.0, regParam=lasso, maxIter=40, standardization=False).fit(held)
     return RuleModel(float(line.intercept), [(r, float(w)) for r, w in zip(rules, line.coefficients.toArray()) if w])
 
 
