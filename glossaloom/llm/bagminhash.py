@@ -8,7 +8,9 @@ equal to their similarity.  A text needs its points up to the time at which ever
 m log m in all however long it is.
 
 Bands of the signature make buckets.  In a bucket, texts are compared with a leader, and those that stay in different
-components with each other; verified links are connected into classes.
+components with each other; verified links are connected into classes.  Two bounds spare most of the second comparisons:
+weighted Jaccard distance is a metric, so texts whose distances to the leader differ by more than the allowed distance cannot
+be linked, and signatures of four bits a component differ in few places if two texts are similar.
 """
 
 from __future__ import annotations
@@ -18,7 +20,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from glossaloom.llm.batches import slices, texts_of, written
@@ -27,8 +29,8 @@ from glossaloom.llm.shingles import mixed, numbered_copies, shingled, word_hashe
 
 BANDS, ROWS = 50, 7
 SIMILARITY = 0.8
-#: Rounds in which each bucket is compared with a leader before the rest is compared pair by pair.
-LEADER_ROUNDS = 2
+#: Deviations above the mean number of differing components that a link may have: three in a million have more.
+SPARE_DEVIATIONS = 4.5
 
 
 def _points(shingles: np.ndarray, level: int, until: float, cover: np.ndarray | None) -> tuple[np.ndarray, np.ndarray]:
@@ -95,20 +97,38 @@ def band_keys(made: np.ndarray, bands: int = BANDS) -> np.ndarray:
     return total.view(np.int64)
 
 
+def short_signature(made: np.ndarray) -> np.ndarray:
+    """Four bits of each component, 16 components in a 64-bit integer."""
+    halves = np.zeros(-(-len(made) // 16) * 16, np.uint8)
+    halves[: len(made)] = mixed(made) & np.uint64(15)
+    return (halves[0::2] | halves[1::2] << 4).astype(np.uint8).view("<i8")
+
+
+def _differing(a: str, b: str, components: int) -> Column:
+    """In how many components two short signatures differ."""
+    total = F.lit(0)
+    for i in range(-(-components // 16)):
+        x = F.col(a)[i].bitwiseXOR(F.col(b)[i])
+        x = x.bitwiseOR(F.shiftrightunsigned(x, 1))
+        total = total + F.bit_count(x.bitwiseOR(F.shiftrightunsigned(x, 2)).bitwiseAND(F.lit(0x1111111111111111)))
+    return total
+
+
 def sketch(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", bands: int = BANDS, rows: int = ROWS) -> DataFrame:
-    """(id, key, size, bands): a hash of the words, the number of shingles and the band keys; nulls for texts without words."""
+    """(id, key, size, bands, short): hash of the words, number of shingles, band keys, short signature; nulls without words."""
 
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "text"):
             words = [words_of(t) for t in texts_of(batch, "text")]
             keys = [xxhash.xxh3_128_digest(b" ".join(w)) if w else None for w in words]
             bags = [shingled(h) for h in word_hashes(words)]
-            made = [band_keys(signature(b, bands * rows), bands).tolist() if len(b) else None for b in bags]
-            columns = [pa.array(keys, pa.binary()), pa.array([len(b) for b in bags], pa.int64()), pa.array(made, pa.list_(pa.int64()))]
-            yield pa.RecordBatch.from_arrays([batch.column("id"), *columns], names=["id", "key", "size", "bands"])
+            made = [signature(b, bands * rows) if len(b) else None for b in bags]
+            told = [pa.array([None if m is None else f(m) for m in made], pa.list_(pa.int64())) for f in (lambda m: band_keys(m, bands), short_signature)]
+            columns = [pa.array(keys, pa.binary()), pa.array([len(b) for b in bags], pa.int64()), *told]
+            yield pa.RecordBatch.from_arrays([batch.column("id"), *columns], names=["id", "key", "size", "bands", "short"])
 
     named = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    return named.mapInArrow(apply, f"id {named.schema['id'].dataType.simpleString()}, key binary, size long, bands array<long>")
+    return named.mapInArrow(apply, f"id {named.schema['id'].dataType.simpleString()}, key binary, size long, bands array<long>, short array<long>")
 
 
 def _bags(docs: DataFrame, wanted: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -125,18 +145,17 @@ def _bags(docs: DataFrame, wanted: DataFrame, id_col: str, text_col: str) -> Dat
     return texts.mapInArrow(apply, "node long, bag array<long>").where("bag is not null").dropDuplicates(["node"])
 
 
-def _verified(pairs: DataFrame, bags: DataFrame, similarity: float) -> DataFrame:
-    """The pairs (a, b) whose bags overlap enough."""
+def _similarities(pairs: DataFrame, bags: DataFrame) -> DataFrame:
+    """(a, b, value): weighted Jaccard similarity of pairs (a, b)."""
     both = pairs.join(bags.select(F.col("node").alias("b"), F.col("bag").alias("bag_b")), "b").join(
         bags.select(F.col("node").alias("a"), F.col("bag").alias("bag_a")), "a"
     )
     shared = F.size(F.array_intersect("bag_a", "bag_b"))
-    return both.where(shared >= similarity * (F.size("bag_a") + F.size("bag_b") - shared)).select("a", "b")
+    return both.select("a", "b", (shared / (F.size("bag_a") + F.size("bag_b") - shared)).alias("value"))
 
 
 def near_duplicates(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: float = SIMILARITY, bands: int = BANDS, rows: int = ROWS,
-    leader_rounds: int = LEADER_ROUNDS,
 ) -> DataFrame:
     """(id, class_id, n_shingles, kept) for every row: its class is named by the least id in it.
 
@@ -153,39 +172,49 @@ def near_duplicates(
     firsts = worded.groupBy("key").agg(F.min("id").alias("least"))
     nodes = written(
         worded.join(firsts.withColumnRenamed("key", "k"), F.col("key").eqNullSafe(F.col("k")) & F.col("id").eqNullSafe(F.col("least")))
-        .dropDuplicates(["key"]).select(F.monotonically_increasing_id().alias("node"), "key", "id", "size", "bands"), "nodes",
+        .dropDuplicates(["key"]).select(F.monotonically_increasing_id().alias("node"), "key", "id", "size", "bands", "short"), "nodes",
     )
-    slots = nodes.select("node", "size", F.explode("bands").alias("bucket"))
+    slots = nodes.select("node", F.explode("bands").alias("bucket"))
     shared = slots.groupBy("bucket").agg(F.count("*").alias("members")).where("members > 1")
-    members = written(slots.join(shared, "bucket"), "members")
-    # texts in many full buckets lie in the middle of their group
-    weight = written(members.groupBy("node").agg(F.sum("members").alias("weight")), "weights")
-    bags = written(_bags(docs, nodes.join(weight, "node").select("id", "node", "key"), id_col, text_col), "bags")
-    members = members.join(weight, "node").select("bucket", "node", "size", "weight")
-    near = F.least("size", "other_size") >= similarity * F.greatest("size", "other_size")
-    found, label = None, members.select("node").distinct().withColumn("component", F.col("node"))
-    for turn in range(leader_rounds + 1):
-        placed = written(members.join(label, "node"), "placed")
-        split = placed.groupBy("bucket").agg(
-            F.min("component").alias("low"), F.max("component").alias("high"),
-            F.max_by(F.struct("node", "size", "component"), F.struct(F.col("weight"), F.hash("node", F.lit(turn)))).alias("leader") if turn == 0
-            else F.max_by(F.struct("node", "size", "component"), F.hash("node", F.lit(turn))).alias("leader"),
-        ).where("low < high")
-        if turn < leader_rounds:
-            met = placed.join(split.select("bucket", "leader"), "bucket").where("component != leader.component")
-            pairs = met.withColumn("other_size", F.col("leader.size")).where(near).select(F.col("leader.node").alias("a"), F.col("node").alias("b"))
-        else:
-            open_ = placed.join(split.select("bucket"), "bucket", "left_semi")
-            other = open_.select("bucket", F.col("node").alias("b"), F.col("size").alias("other_size"), F.col("component").alias("other"))
-            met = open_.join(other, "bucket").where((F.col("component") < F.col("other")) & near)
-            pairs = met.select(F.col("node").alias("a"), "b")
-        fresh = written(_verified(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), bags, similarity), "links")
-        if fresh.isEmpty() and turn < leader_rounds:
-            continue
-        found = fresh if found is None else found.unionByName(fresh)
-        label = components(found, members.select("node").distinct())
-    least = nodes.join(label, "node").groupBy("component").agg(F.min("id").alias("class_id"))
-    linked = nodes.join(label, "node").join(least, "component").select("key", "class_id")
-    named = nodes.join(weight, "node", "left_anti").select("key", F.col("id").alias("class_id")).unionByName(linked)
+    slots = written(slots.join(shared, "bucket"), "members")
+    # texts in many full buckets lie in the middle of their group and lead
+    weight = slots.groupBy("node").agg(F.sum("members").alias("weight"))
+    near_nodes = written(nodes.join(weight, "node").select("node", "id", "key", "size", "short", "weight"), "near")
+    bags = written(_bags(docs, near_nodes.select("id", "node", "key"), id_col, text_col), "bags")
+    members = slots.select("bucket", "node").join(near_nodes.select("node", "size", "weight"), "node")
+    leaders = members.groupBy("bucket").agg(F.max_by(F.struct("node", "size"), F.struct("weight", "node")).alias("leader"))
+    led = written(members.join(leaders, "bucket").select("bucket", "node", "size", F.col("leader.node").alias("leader"), F.col("leader.size").alias("leader_size")), "led")
+    close = lambda a, b: F.least(a, b) >= similarity * F.greatest(a, b)
+    first = led.where((F.col("node") != F.col("leader")) & close("size", "leader_size")).select(F.col("leader").alias("a"), F.col("node").alias("b")).distinct()
+    to_leader = written(_similarities(first, bags), "similar")
+    links = to_leader.where(F.col("value") >= similarity).select("a", "b")
+    label = written(components(links, near_nodes.select("node")), "components")
+
+    # texts of a bucket outside its leader's component, against the rest of the bucket
+    value = to_leader.select(F.col("a").alias("leader"), F.col("b").alias("node"), "value")
+    told = led.drop("leader_size").join(value, ["leader", "node"], "left").join(label, "node")
+    told = told.join(label.select(F.col("node").alias("leader"), F.col("component").alias("main")), "leader")
+    open_buckets = told.where("component != main").select("bucket").distinct()
+    told = written(told.join(open_buckets, "bucket", "left_semi").join(near_nodes.select("node", "short"), "node"), "told")
+    outside = told.where("component != main").select("bucket", F.col("node").alias("a"), F.col("size").alias("size_a"), F.col("component").alias("component_a"), F.col("value").alias("value_a"), F.col("short").alias("short_a"))
+    every = told.where("node != leader").select(
+        "bucket", F.col("node").alias("b"), F.col("size").alias("size_b"), F.col("component").alias("component_b"), F.col("value").alias("value_b"), F.col("short").alias("short_b"), (F.col("component") == F.col("main")).alias("inside")
+    )
+    size = bands * rows
+    odds = 15 / 16 * (1 - similarity)
+    most = size * odds + SPARE_DEVIATIONS * (size * odds * (1 - odds)) ** 0.5
+    met = outside.join(every, "bucket").where(
+        (F.col("component_a") != F.col("component_b")) & (F.col("inside") | (F.col("a") < F.col("b"))) & close("size_a", "size_b")
+        & F.coalesce(F.abs(F.col("value_a") - F.col("value_b")) <= 1 - similarity + 1e-9, F.lit(True))
+        & (_differing("short_a", "short_b", size) <= most)
+    )
+    rest = met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    more = written(_similarities(rest, bags), "similar").where(F.col("value") >= similarity).select("a", "b")
+    if not more.isEmpty():
+        label = components(links.unionByName(more), near_nodes.select("node"))
+    placed = near_nodes.join(label, "node")
+    least = placed.groupBy("component").agg(F.min("id").alias("class_id"))
+    linked = placed.join(least, "component").select("key", "class_id")
+    named = nodes.join(near_nodes.select("node"), "node", "left_anti").select("key", F.col("id").alias("class_id")).unionByName(linked)
     out = sketches.select("id", "key", "size").join(named, "key", "left").withColumn("class_id", F.when(F.col("key").isNull(), F.col("id")).otherwise(F.col("class_id")))
     return out.select(F.col("id").alias(id_col), "class_id", F.col("size").alias("n_shingles"), F.col("id").eqNullSafe(F.col("class_id")).alias("kept"))

@@ -86,15 +86,33 @@ def rows_of(seed):
     words = [f"c{i}" for i in range(120)]
     for step in range(8):
         rows.append((len(rows), " ".join([f"n{i}" if i < 8 * step else w for i, w in enumerate(words)])))
+    # versions of one text, edited to all degrees: some near the text, some near another version only
+    words = [f"v{i}" for i in range(90)]
+    for version in range(60):
+        edited = list(words)
+        for _ in range(rng.randrange(12)):
+            at = rng.randrange(len(edited))
+            edited[at : at + 1] = rng.choice([[], [f"e{rng.randrange(6)}"], [edited[at], "more"]])
+        rows.append((len(rows), " ".join(edited)))
     rows += [(900, None), (901, ""), (902, " \n"), (903, "Same words"), (904, "same  words"), (905, "again " * 50), (906, "again " * 60), (907, "again " * 70)]
     return rows
 
 
-@pytest.mark.parametrize("rounds", [0, 2])
-def test_classes_equal_brute_force(spark, rounds):
-    rows = rows_of(3)
+def test_short_signatures_differ_where_signatures_do():
+    rng = np.random.default_rng(2)
+    a = rng.integers(0, 1 << 63, 350, dtype=np.uint64)
+    b = np.where(rng.random(350) < 0.3, rng.integers(0, 1 << 63, 350, dtype=np.uint64), a)
+    x = bagminhash.short_signature(a) ^ bagminhash.short_signature(b)
+    differing = sum(digit != "0" for v in x.view(np.uint64).tolist() for digit in f"{v:x}")
+    changed = int((a != b).sum())
+    assert differing <= changed and abs(differing - 15 / 16 * changed) < 15
+
+
+@pytest.mark.parametrize("seed", [3, 17])
+def test_classes_equal_brute_force(spark, seed):
+    rows = rows_of(seed)
     docs = spark.createDataFrame([(i, t, 1) for i, t in rows], "doc_id long, text string, kept int")
-    got = {r.doc_id: (r.class_id, r.kept) for r in bagminhash.near_duplicates(docs, leader_rounds=rounds).collect()}
+    got = {r.doc_id: (r.class_id, r.kept) for r in bagminhash.near_duplicates(docs).collect()}
     want = brute_classes(rows)
     assert {i: c for i, (c, _) in got.items()} == want
     assert all(kept == (i == c) for i, (c, kept) in got.items())
