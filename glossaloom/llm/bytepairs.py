@@ -7,13 +7,14 @@ single space that stands between two other characters, and the ids of the cuts a
 from __future__ import annotations
 
 import re
+import struct
 
 import numpy as np
 
 from glossaloom.llm.batches import WordTable
 
-#: A space beside white space or at the end, where the simple cut at spaces would not be safe.
-_UNSAFE = re.compile(r" \s| \Z|\s |\A ")
+#: White space other than the space.
+_BLANKS = [chr(c) for c in range(0x110000) if chr(c).isspace() and c != 32]
 #: A space between two letters or digits is always a safe cut.
 _SAFE_CUT = re.compile(r"(?<=[^\W_]) (?=[^\W_])")
 #: New words put through the library in one string.
@@ -22,8 +23,12 @@ _CODECS: dict[tuple[int, bool], "BytePairCodec"] = {}
 
 
 def cuts(text: str) -> list[str]:
-    """The parts of a text; every part but the first had a space before it."""
-    return _SAFE_CUT.split(text) if _UNSAFE.search(text) else text.split(" ")
+    """The parts of a text; every part but the first had a space before it.
+
+    Where a space stands beside white space or at an end of the text, the text is cut between letters and digits only.
+    """
+    beside = text[:1] == " " or text[-1:] == " " or "  " in text or any(b in text and (b + " " in text or " " + b in text) for b in _BLANKS)
+    return _SAFE_CUT.split(text) if beside else text.split(" ")
 
 
 class BytePairCodec:
@@ -43,6 +48,7 @@ class BytePairCodec:
         names = self.lib.get_vocab()
         self.spaced = np.zeros(max(names.values(), default=0) + 1, bool)
         self.spaced[[i for name, i in names.items() if name.startswith("Ġ")]] = True
+        self.stops = {s: self._packed(self._ids(s)) for s in ".,"}
         self.first, self.later = (WordTable(self._first), WordTable(self._later)) if by_words else (None, None)
 
     def _packed(self, ids: list[int]) -> bytes:
@@ -52,9 +58,20 @@ class BytePairCodec:
         return [self._packed(e.ids) for e in self.lib.encode_batch_fast(words, add_special_tokens=False)]
 
     def _later(self, words: list[str]) -> list[bytes]:
-        """Ids of words with a space before them; those without other spaces go through the library many at a time."""
-        simple = [w for w in words if w and " " not in w and not w[0].isspace() and not w[-1].isspace()]
+        """Ids of words with a space before them.
+
+        A word of ASCII letters is one pre-token, and a full stop or comma behind it another: they go straight to the
+        library's merges.  Others without spaces go through the whole library many at a time.
+        """
         made: dict[str, bytes] = {}
+        merges, code = self.lib.model.tokenize, "H" if self.dtype.itemsize == 2 else "I"
+        pack = lambda *ids: struct.pack(f"<{len(ids)}{code}", *ids)
+        for w in words:
+            stop = self.stops.get(w[-1:], b"")
+            letters = w[:-1] if stop else w
+            if letters.isalpha() and letters.isascii():
+                made[w] = pack(*[t.id for t in merges("Ġ" + letters)]) + stop
+        simple = [w for w in words if w and w not in made and " " not in w and not w[0].isspace() and not w[-1].isspace()]
         for at in range(0, len(simple), _TOGETHER):
             part = simple[at : at + _TOGETHER]
             ids = np.asarray(self._ids(" " + " ".join(part)), self.dtype)
