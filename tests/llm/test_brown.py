@@ -108,6 +108,30 @@ def test_best_move_gains_what_the_likelihood_gains():
         assert math.isclose(values[target], allowed, rel_tol=1e-12) and math.isclose(gain, values[target] - values[classes[word]], abs_tol=1e-6)
 
 
+def test_moves_of_many_words_equal_single_moves():
+    rng = np.random.default_rng(7)
+    pairs = rng.integers(0, 30, (40, 40)) * rng.integers(0, 2, (40, 40))
+    classes = rng.integers(0, 5, 40)
+    member = np.eye(6, dtype=np.int64)[classes]
+    table, follow, lead, own = member.T @ pairs @ member, pairs @ member, pairs.T @ member, np.diag(pairs)
+    want = [brown.best_move(follow[w], lead[w], float(own[w]), int(classes[w]), table, 5)[0] for w in range(40)]
+    assert len(set(want)) > 2 and brown.best_moves(follow, lead, own.astype(float), classes, table, 5).tolist() == want
+
+
+def test_every_word_of_five_tokens_is_clustered_however_large_the_corpus(spark):
+    rng = random.Random(3)
+    texts = [" ".join(["the", "of"] * 3000)] * 20 + [" ".join(f"w{(i * 30 + j) % 900}" for j in range(30)) for i in range(150)] + ["once twice twice"]
+    rng.shuffle(texts)
+    model = brown.fit(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"))
+    counts = Counter(t for x in texts for t in tokens(x) if t)
+    assert model.tokens > 100_000 and max(c for w, c in counts.items() if w[0] == "w") < model.tokens / 20_000
+    want = {w.encode(): c for w, c in counts.items() if c >= 5}
+    assert model.clustered == len(want) == 902 and dict(zip(model.words[:902], model.word_counts.tolist())) == want
+    assert model.rare == (3, 2) and len(set(model.classes[1:-1])) > 10
+    assert int(model.table.sum()) == model.tokens
+    assert brown.classes_for(10**6) > brown.classes_for(10**5) == 48
+
+
 def test_exchange_beats_its_start_and_the_unigram(spark):
     rows = corpus(5, 300)
     docs = spark.createDataFrame(rows, "doc_id long, text string")
