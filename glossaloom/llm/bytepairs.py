@@ -32,7 +32,10 @@ def cuts(text: str) -> list[str]:
 
 
 class BytePairCodec:
-    """A tokenizers file (JSON text) in one Python worker; ids are packed in the narrowest unsigned integers."""
+    """A tokenizers file (JSON text) in one Python worker; ids are packed in the narrowest unsigned integers.
+
+    With ``plain_specials`` the strings of special tokens are text like any other, else they are their tokens.
+    """
 
     def __init__(self, spec: bytes, plain_specials: bool = True):
         from tokenizers import Tokenizer, pre_tokenizers
@@ -43,8 +46,15 @@ class BytePairCodec:
         self.dtype = np.dtype("<u2" if self.vocabulary <= 1 << 16 else "<u4")
         by_words = (
             isinstance(self.lib.pre_tokenizer, pre_tokenizers.ByteLevel) and self.lib.normalizer is None
-            and not self.lib.pre_tokenizer.add_prefix_space and self.lib.pre_tokenizer.use_regex and plain_specials
+            and not self.lib.pre_tokenizer.add_prefix_space and self.lib.pre_tokenizer.use_regex
         )
+        added = [t.content for t in self.lib.get_added_tokens_decoder().values()]
+        #: texts that hold one of these go through the library as a whole
+        self.added = [] if plain_specials else added
+        if not plain_specials:
+            by_words = by_words and not any(" " in a for a in added)
+            self.whole = Tokenizer.from_str(spec.decode())
+            self.lib.encode_special_tokens = by_words
         names = self.lib.get_vocab()
         self.spaced = np.zeros(max(names.values(), default=0) + 1, bool)
         self.spaced[[i for name, i in names.items() if name.startswith("Ġ")]] = True
@@ -94,6 +104,15 @@ class BytePairCodec:
         """Packed ids of each whole text, equal to the library's."""
         if self.first is None:
             return self._first(texts)
+        held = [i for i, t in enumerate(texts) if any(a in t for a in self.added)]
+        if held:
+            made = self._by_words(["" if any(a in t for a in self.added) else t for t in texts])
+            for i, e in zip(held, self.whole.encode_batch_fast([texts[i] for i in held], add_special_tokens=False)):
+                made[i] = self._packed(e.ids)
+            return made
+        return self._by_words(texts)
+
+    def _by_words(self, texts: list[str]) -> list[bytes]:
         words = [cuts(t) for t in texts]
         heads, tails = [w[:1] for w in words], [w[1:] for w in words]
         first, later = self.first.covering(heads), self.later.covering(tails).__getitem__

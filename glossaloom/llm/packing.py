@@ -65,6 +65,7 @@ def write_tokens(
 ) -> None:
     """Encode every whole text, end each with ``end_id`` and write the packed stream in ascending id order to ``folder``.
 
+    Texts are encoded as the library does without added special tokens: a special token's string in a text is that token.
     Null texts count as empty (the end id alone); rows with equal ids follow each other by text, repeated rows each come
     out; null ids come first; an empty table writes no blocks.  Other columns are ignored.  One range shuffle by id.
     Memory in a task is a slice of texts and one block.
@@ -74,7 +75,7 @@ def write_tokens(
     arrow_id = pa.list_(pa.int64()) if isinstance(docs.schema[id_col].dataType, T.LongType) else None
 
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words = codec(spec.value)
+        words = codec(spec.value, plain_specials=False)
         bits, end, shard = id_bits(words.vocabulary), np.asarray([end_id], words.dtype).tobytes(), TaskContext.get().partitionId()
         ids: list = []
         parts: list[bytes] = []

@@ -38,6 +38,18 @@ def test_random_texts_equal_the_library(texts):
     assert [unpacked(p) for p in CODEC.encode(texts)] == [expected(t) for t in texts]
 
 
+def test_special_tokens_in_texts_are_the_unmodified_librarys(spark, tmp_path):
+    lib = Tokenizer.from_file(PATH)
+    texts = ["a <|endoftext|> b", "plain words, here", *AWKWARD, "<|endoftext|>", "x<|endoftext|>y  z", "<|endoftext| >", None]
+    packing.write_tokens(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), PATH, f"file://{tmp_path}/set")
+    place = 0
+    for r, text in zip(packing.read_documents(spark, f"file://{tmp_path}/set").orderBy("doc_id").collect(), texts):
+        ids = [*lib.encode(text or "", add_special_tokens=False).ids, 0]
+        assert (r.start, r.ids) == (place, ids), repr(text)
+        place += len(ids)
+    assert lib.encode(texts[0], add_special_tokens=False).ids == [64, 220, 50256, 275]
+
+
 @pytest.mark.parametrize("bits", [1, 7, 8, 13, 15, 16, 17, 24, 31, 32])
 def test_pack_and_random_access(bits):
     ids = np.random.default_rng(bits).integers(0, 1 << bits, 1001, dtype=np.uint64).astype("<u4")
