@@ -6,6 +6,7 @@ differ in at most ``radius`` bits, in one of the blocks they differ in at most `
 neighbourhood finds every item within the radius.  Candidates are verified by exact weighted Jaccard similarity of the
 shingle multisets.
 
+A text of fewer words than the item is one window, as long as it has enough shingles for the least similarity.
 A window without any shingle of an item has similarity 0, so only windows that hold one are fingerprinted.
 """
 
@@ -116,12 +117,15 @@ class ItemIndex:
             if not len(anchors):
                 continue
             for size in self.sizes:
-                if min(WIDTH, size.words) != width or len(hashes) < size.words:
+                if min(WIDTH, size.words) != width:
+                    continue
+                words = min(size.words, len(hashes))
+                span = words - width + 1
+                if span < self.least * (size.words - width + 1):
                     continue
                 own = anchors[np.isin(shingles[anchors], size.shingles)]
-                span = size.words - width + 1
                 starts = (own[:, None] - np.arange(span)[None, :]).reshape(-1)
-                starts = np.unique(starts[(starts >= 0) & (starts <= len(hashes) - size.words)])
+                starts = np.unique(starts[(starts >= 0) & (starts <= len(hashes) - words)])
                 if not len(starts):
                     continue
                 low, high = int(starts[0]), int(starts[-1]) + span
@@ -132,7 +136,7 @@ class ItemIndex:
                     known = best.get(size.items[item])
                     if value >= self.least and (known is None or value > known[3]):
                         differing = int(np.bitwise_count(prints[at] ^ size.index.prints[item]))
-                        best[size.items[item]] = (size.items[item], start, size.words, value, differing)
+                        best[size.items[item]] = (size.items[item], start, words, value, differing)
         return list(best.values())
 
 

@@ -68,6 +68,19 @@ def test_multi_index_finds_every_print_within_the_radius():
     assert got == {(i, j) for i, a in enumerate(asked) for j, b in enumerate(items) if int(a ^ b).bit_count() <= index.radius}
 
 
+def test_documents_shorter_than_the_item_are_compared_whole():
+    words = [f"w{i}" for i in range(30)]
+    items = [" ".join(words), "a b c", " ".join(f"v{i}" for i in range(8))]
+    index = decontaminate.ItemIndex(items)
+
+    def hits(text):
+        return [h[:4] for h in index.hits(shingles.word_hashes([shingles.words_of(text)])[0])]
+
+    assert hits(" ".join(words[:-1])) == [(0, 0, 29, 25 / 26)] and hits(" ".join(words[1:])) == [(0, 0, 29, 25 / 26)]
+    assert hits(" ".join(words[2:-3])) == [(0, 0, 25, 21 / 26)] and hits(" ".join(words[3:-3])) == []
+    assert hits("a b") == [] and hits("v0 v1 v2 v3 v4 v5 v6") == [] and hits(" ".join(words[:3])) == []
+
+
 def test_frames(spark):
     rows, items = cases(4, docs=30)
     docs = spark.createDataFrame([(i, t, "x") for i, t in rows], "doc_id long, text string, item_id string")
