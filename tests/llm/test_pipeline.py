@@ -61,6 +61,21 @@ def test_stages_keep_clean_documents_and_act_on_the_rest(spark, tmp_path):
         assert r.decoded_sha256 == hashlib.sha256(lib.decode(ids).encode()).hexdigest()
 
 
+def test_texts_that_no_language_claims_are_rejected(spark):
+    sf, rng = "/root/testdata/sf0.01", random.Random(1)
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    noise = " ".join("".join(rng.choice("bcdfghjklmnpqrstvwxz") for _ in range(rng.randrange(2, 9))) for _ in range(80))
+    strange = [
+        "Все счастливые семьи похожи друг на друга, каждая несчастливая семья несчастлива по-своему. " * 3,
+        "所有幸福的家庭都是相似的，每个不幸的家庭各有各的不幸。" * 3, noise,
+        "Kaikki onnelliset perheet ovat toistensa kaltaisia, jokainen onneton perhe on onneton omalla tavallaan. " * 3,
+    ]
+    more = spark.createDataFrame([(-1 - i, t) for i, t in enumerate(strange)], "doc_id long, text string")
+    judged = corpus_pipeline.language_id(spark, docs.unionByName(more, allowMissingColumns=True), sf)
+    kept = [r.doc_id for r in judged.select("doc_id").collect()]
+    assert min(kept) >= 0 and len(kept) > 0.98 * docs.count()
+
+
 def test_query_runs_the_stages(spark):
     from __spark_entry__ import queries
 
