@@ -6,7 +6,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from glossaloom.llm import bagminhash, brown, chat, counting, decontaminate, langid, outliers, packing, pieces, rules
+from glossaloom.llm import bagminhash, brown, chat, counting, decontaminate, langid, outliers, packing, pieces, rules, spelling
+from glossaloom.llm import talktrie, twins, urltree
 from glossaloom.llm.batches import hash_class, shared_folder
 
 
@@ -77,6 +78,26 @@ def op10_rule_quality(spark: SparkSession, sf: str) -> DataFrame:
     return judged.select("doc_id", (hash_class("doc_id", 4) == 2).alias("held_out"), "score", "predicted")
 
 
+def op11_url_filter(spark: SparkSession, sf: str) -> DataFrame:
+    """A page's label is that of the document whose id its path names: bad if of low quality or toxic."""
+    labels = _table(spark, sf, "labels").groupBy("doc_id").agg(F.max((F.col("quality") == 0) | (F.col("toxic") == 1)).alias("bad"))
+    doc_id = F.regexp_extract(urltree.path_of(F.col("url")), r"/([0-9]{1,18})(?:[/.]|\z)", 1).try_cast("long")
+    pages = _table(spark, sf, "pages").select("page_id", "url", doc_id.alias("doc_id")).join(labels, "doc_id", "left")
+    return urltree.judge(pages, URL_RULES)
+
+
+def op12_conversation_trie(spark: SparkSession, sf: str) -> DataFrame:
+    turns, lengths = talktrie.rebuilt(talktrie.numbered(_table(spark, sf, "conversations")))
+    return talktrie.prefix_trie(turns, lengths).drop("role", "text_sha256")
+
+
+def op13_spelling_variants(spark: SparkSession, sf: str) -> DataFrame:
+    return spelling.variants(spelling.count_words(_table(spark, sf, "documents")))
+
+
+#: The filter's rules.
+URL_RULES = [("com/", "allow"), ("example.com/en/", "block"), ("www.example.com/en/", "allow"), ("net/es/", "block"), ("net/fr/", "block")]
+
 QUERIES = {
     "op1_language": op1_language,
     "op2_sentencepiece": op2_sentencepiece,
@@ -88,6 +109,13 @@ QUERIES = {
     "op8_quality_rules": op8_quality_rules,
     "op9_packed_ids": op9_packed_ids,
     "op10_rule_quality": op10_rule_quality,
+    "op11_url_filter": op11_url_filter,
+    "op12_conversation_trie": op12_conversation_trie,
+    "op13_spelling_variants": op13_spelling_variants,
 }
 
-SQL: dict[str, str] = {}
+SQL: dict[str, str] = {
+    "op11_url_filter": twins.url_filter(URL_RULES, urltree.TreeRules()),
+    "op12_conversation_trie": twins.CONVERSATION_TRIE,
+    "op13_spelling_variants": twins.SPELLING_VARIANTS,
+}
