@@ -1,26 +1,91 @@
-"""Greedy leader clustering as rounds of joins.
+"""Greedy leader clustering, component by component.
 
-Scanning names in order, a name not yet taken becomes a leader and takes every later related name.  The
-outcome depends on the relation alone: a name belongs to its smallest related leader below it, and is a
-leader when it has none.  Each round decides every name whose smaller neighbours allow it.
+Scanning names in order, a name not yet taken becomes a leader and takes every later related name.  A scan never crosses from
+one connected component of the relation to another, so components are found first and each is scanned by itself in a task.
+Only a component too large for a task is decided by rounds of joins.
 
-Relations come as ``pairs(novel, lo, hi)`` and as ``cliques(novel, name, clique)`` whose members are all
-related to each other; a clique costs one row per member however large it is.
+Relations come as ``pairs(novel, lo, hi)`` and as ``cliques(novel, name, clique)`` whose members are all related to each other;
+a clique costs one row per member however large it is.
 """
 
 from __future__ import annotations
 
+from collections import defaultdict
+
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from glossaloom.plans.components import components
 from glossaloom.plans.lineage import cut
 
+#: Links (pairs and clique memberships) of a component that one task scans.
+TASK_LINKS = 200_000
+
 
-def leader_clusters(names: DataFrame, pairs: DataFrame, cliques: DataFrame) -> DataFrame:
+def leader_clusters(names: DataFrame, pairs: DataFrame, cliques: DataFrame, task_links: int = TASK_LINKS) -> DataFrame:
     """``novel, name, leader`` for every name; a leader leads itself.
 
-    At least the smallest undecided name of each novel is decided per round, so the loop ends.
+    A name belongs to its smallest related leader below it, and is a leader when it has none.
     """
+    return leaders_and_components(names, pairs, cliques, task_links).drop("component")
+
+
+def leaders_and_components(names: DataFrame, pairs: DataFrame, cliques: DataFrame, task_links: int = TASK_LINKS) -> DataFrame:
+    """As ``leader_clusters``, with ``component``, the first name of all that links lead to."""
+    keys = ["novel", "name"]
+    # One shape for both relations: a name linked to a name or to a clique.
+    links = pairs.select("novel", F.col("lo").alias("name"), F.lit(False).alias("grouped"), F.col("hi").alias("other")).unionByName(
+        cliques.select("novel", "name", F.lit(True).alias("grouped"), F.col("clique").alias("other"))
+    )
+    links = cut(links.distinct())
+    vertex = lambda grouped, value: F.struct("novel", grouped.alias("grouped"), value.alias("value"))
+    edges = links.select(vertex(F.lit(False), F.col("name")).alias("a"), vertex(F.col("grouped"), F.col("other")).alias("b"))
+    of = cut(components(edges).where("not node.grouped").select("node.novel", F.col("node.value").alias("name"), "component"))
+    linked = cut(links.join(of, keys))
+    sizes = linked.groupBy("component").agg(F.count("*").alias("n_links"))
+    large = cut(sizes.where(F.col("n_links") > task_links).select("component"))
+    scanned = linked.join(large, "component", "left_anti").groupBy("component").applyInPandas(_scan, "novel string, name string, leader string")
+    found = cut(scanned)
+    if not large.isEmpty():
+        rest = linked.join(large, "component", "left_semi")
+        found = found.unionByName(_by_rounds(
+            rest.where("not grouped").select("novel", F.col("name").alias("lo"), F.col("other").alias("hi")),
+            rest.where("grouped").select("novel", "name", F.col("other").alias("clique")),
+        ))
+    # Names sort before cliques, so the least vertex of a component is its first name.
+    found = found.join(of.select(*keys, F.col("component.value").alias("component")), keys)
+    lonely = names.select(*keys).distinct().join(found, keys, "left_anti").withColumns({"leader": F.col("name"), "component": F.col("name")})
+    return found.unionByName(lonely)
+
+
+def _scan(links: pd.DataFrame) -> pd.DataFrame:
+    """The scan over one component; every link is looked at once, as a clique has at most one leader that takes from it."""
+    later, groups, members = defaultdict(list), defaultdict(list), defaultdict(list)
+    order = set()
+    for name, grouped, other in zip(links["name"], links["grouped"], links["other"]):
+        order.add(name)
+        if grouped:
+            groups[name].append(other)
+            members[other].append(name)
+        else:
+            order.add(other)
+            later[name].append(other)
+    leader: dict[str, str] = {}
+    # In the order in which Spark sorts strings: by their UTF-8 bytes, which is the order of code points.
+    for name in sorted(order):
+        if name in leader:
+            continue
+        leader[name] = name
+        taken = [*later[name], *(m for group in groups[name] for m in members.pop(group, []))]
+        for other in taken:
+            if other > name:
+                leader.setdefault(other, name)
+    return pd.DataFrame({"novel": links["novel"].iloc[0], "name": list(leader), "leader": list(leader.values())})
+
+
+def _by_rounds(pairs: DataFrame, cliques: DataFrame) -> DataFrame:
+    """The same outcome by joins: each round decides every name whose smaller neighbours allow it, at least the smallest."""
     keys = ["novel", "name"]
     pairs, cliques = cut(pairs), cut(cliques)
     linked = (
@@ -29,7 +94,6 @@ def leader_clusters(names: DataFrame, pairs: DataFrame, cliques: DataFrame) -> D
         .unionByName(pairs.select("novel", F.col("hi").alias("name")))
         .distinct()
     )
-    lonely = names.select(*keys).distinct().join(linked, keys, "left_anti").withColumn("leader", F.col("name"))
     # leader: null while undecided.
     state = cut(linked.withColumn("leader", F.lit(None).cast("string")))
 
@@ -74,4 +138,4 @@ def leader_clusters(names: DataFrame, pairs: DataFrame, cliques: DataFrame) -> D
             state.join(news, keys, "left").select(*keys, F.coalesce("leader", decided).alias("leader"))
         )
         if state.where(F.col("leader").isNull()).isEmpty():
-            return state.unionByName(lonely)
+            return state

@@ -7,7 +7,7 @@ and example sentences are long tables, so a name that fills a third of the corpu
 from __future__ import annotations
 
 from collections.abc import Callable
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -49,10 +49,12 @@ class Mined:
 
 
 def name_relations(names: DataFrame, threshold: float, lex: Lexicon, min_len_for_edit: int = 1) -> tuple[DataFrame, DataFrame]:
-    """``(pairs, cliques)`` for name keys: same words, a contained name, a shared core word, or close spelling.
+    """``(pairs, cliques)`` for name keys: same words, a contained name, a shared core word, or close spelling."""
+    return name_pairs(names, threshold, lex, min_len_for_edit), shared_cliques(name_memberships(names, lex))
 
-    A lone word is not tied to a longer name merely because that name contains it.
-    """
+
+def name_memberships(names: DataFrame, lex: Lexicon) -> DataFrame:
+    """``novel, name, clique``: names of the same words, or of several words with a core word in common, share a clique."""
     stops = X.words_lit(lex.name_stopwords)
     tokens = X.words(F.col("name"))
     same_words = names.select("novel", "name", F.concat(F.lit("w:"), F.array_join(sorted_tokens(F.col("name")), " ")).alias("clique"))
@@ -60,15 +62,24 @@ def name_relations(names: DataFrame, threshold: float, lex: Lexicon, min_len_for
     shared_word = names.where(F.size(tokens) > 1).select(
         "novel", "name", F.explode(F.transform(core, lambda t: F.concat(F.lit("t:"), t))).alias("clique")
     )
+    return same_words.unionByName(shared_word)
+
+
+def name_pairs(names: DataFrame, threshold: float, lex: Lexicon, min_len_for_edit: int = 1, only: DataFrame | None = None) -> DataFrame:
+    """``novel, lo, hi``: one name holds the other, or close spelling; with ``only(novel, name)`` pairs of which one is listed.
+
+    A lone word is not tied to a longer name merely because that name contains it.
+    """
+    stops = X.words_lit(lex.name_stopwords)
     short, long = X.words(F.col("short")), X.words(F.col("long"))
     bare = (F.size(short) == 1) & (F.size(F.array_distinct(long)) > 1) & F.array_contains(long, F.get(short, F.lit(0)))
     contained = (
-        substring_pairs(names)
+        substring_pairs(names, only=only)
         .where(F.exists(short, lambda t: ~F.array_contains(stops, t)) & ~bare)
         .select("novel", F.least("short", "long").alias("lo"), F.greatest("short", "long").alias("hi"))
     )
-    spelled = edit_pairs(names, threshold, min_length=min_len_for_edit)
-    return contained.unionByName(spelled).distinct(), shared_cliques(same_words.unionByName(shared_word))
+    spelled = edit_pairs(names, threshold, min_length=min_len_for_edit, only=only)
+    return contained.unionByName(spelled).distinct()
 
 
 def cluster_names(names: DataFrame, threshold: float = 0.3, lex: Lexicon | None = None, min_len_for_edit: int = 1) -> DataFrame:
@@ -120,35 +131,26 @@ def form_counts(signals: DataFrame) -> DataFrame:
     return counted.withColumn("name", name_key(F.col("text")))
 
 
-def mine_policies(
-    signals: DataFrame,
-    totals: DataFrame,
-    min_support: int = 2,
-    min_confidence: float = 0.4,
-    threshold: float = 0.3,
-    base: float = 0.5,
-    per_occurrence: float = 0.03,
-    cap: float = 0.99,
-    deterministic_at: float = 0.8,
-    merge_variants: bool = True,
-    min_len_for_edit: int = 1,
-    lex: Lexicon | None = None,
-    verify: Callable[[DataFrame], DataFrame] | None = None,
-) -> Mined:
-    """Signals to policies.  ``totals`` has ``novel, total_chapters``.
+@dataclass
+class Clusters:
+    """What scoring needs of clusters, keyed by ``novel, leader``: ``chosen`` (n_chapters, raw_canonical, canonical), ``aliases``
+    (alias), ``quotes`` (context, pos), ``evidence`` (chapter), ``occurrence`` (n_signals, is_honorific, is_term) and ``texts``
+    (text, n), the surface forms as they stand."""
+
+    chosen: DataFrame
+    aliases: DataFrame
+    quotes: DataFrame
+    evidence: DataFrame
+    occurrence: DataFrame
+    texts: DataFrame
 
-    ``verify`` may take candidates ``novel, leader, canonical, aliases, contexts`` and return the confirmed
-    ones as ``novel, leader, canonical, aliases`` (null aliases keep the mined ones).
-    """
-    lex = lex or Lexicon()
-    group = ["novel", "leader"]
-    counts = cut(form_counts(signals))
-    if merge_variants:
-        clusters = cluster_names(counts.select("novel", "name"), threshold, lex, min_len_for_edit)
-        forms = cut(counts.join(clusters, ["novel", "name"]))
-    else:
-        forms = counts.withColumn("leader", F.col("name"))
+    TABLES = ("chosen", "aliases", "quotes", "evidence", "occurrence", "texts")
 
+
+def describe_clusters(forms: DataFrame, signals: DataFrame, min_support: int, lex: Lexicon) -> Clusters:
+    """Canonical name, aliases, evidence and quotes of every cluster of ``forms`` (form counts with ``leader``) that has enough
+    chapters and a usable name.  ``signals``: novel, chapter, text, seq, context."""
+    group = ["novel", "leader"]
     sightings = signals.select("novel", "text", "chapter").distinct().join(forms.select("novel", "text", "leader"), ["novel", "text"])
     evidence = sightings.select(*group, "chapter").distinct()
     support = evidence.groupBy(*group).agg(F.count("*").alias("n_chapters")).where(F.col("n_chapters") >= min_support)
@@ -181,42 +183,37 @@ def mine_policies(
         .select(*group, "alias")
         .distinct()
     )
-    quotes = _first_contexts(signals, forms.join(chosen.select(*group), group, "left_semi"))
+    kept = forms.join(chosen.select(*group), group, "left_semi")
+    occurrence = kept.groupBy(*group).agg(
+        F.sum("n").alias("n_signals"), F.max("is_honorific").alias("is_honorific"), F.max("is_term").alias("is_term")
+    )
+    texts = kept.select(*group, "text", "n")
+    return Clusters(chosen, aliases, _first_contexts(signals, kept), evidence.join(chosen.select(*group), group, "left_semi"), occurrence, texts)
 
-    verified = F.lit(False)
-    if verify is not None:
-        listed = aliases.groupBy(*group).agg(F.sort_array(F.collect_set("alias")).alias("aliases"))
-        sentences = quotes.groupBy(*group).agg(F.sort_array(F.collect_list(F.struct("pos", "context"))).alias("q"))
-        candidates = chosen.join(listed, group, "left").join(sentences, group, "left")
-        confirmed = cut(
-            verify(candidates.select(*group, "canonical", "aliases", F.col("q.context").alias("contexts"))).select(
-                *group, F.col("canonical").alias("_name"), F.col("aliases").alias("_aliases")
-            )
-        )
-        chosen = chosen.join(confirmed, group).withColumn("canonical", F.coalesce("_name", "canonical")).drop("_name", "_aliases")
-        renamed = confirmed.where(F.col("_aliases").isNotNull())
-        aliases = (
-            aliases.join(renamed, group, "left_anti")
-            .join(confirmed.select(*group), group, "left_semi")
-            .unionByName(renamed.select(*group, F.explode("_aliases").alias("alias")))
-            .distinct()
-        )
-        verified = F.lit(True)
 
-    occurrence = forms.join(chosen.select(*group, "canonical"), group).groupBy(*group).agg(
-        F.sum("n").alias("n_signals"),
-        F.sum(F.when(F.col("text") == F.col("canonical"), F.col("n"))).alias("n_canonical"),
-        F.max("is_honorific").alias("is_honorific"),
-        F.max("is_term").alias("is_term"),
-    )
+def score_clusters(
+    clusters: Clusters,
+    totals: DataFrame,
+    min_confidence: float = 0.4,
+    base: float = 0.5,
+    per_occurrence: float = 0.03,
+    cap: float = 0.99,
+    deterministic_at: float = 0.8,
+    verified: bool = False,
+) -> Mined:
+    """Scores, ranks, review flags and ids; nothing here looks at signals again."""
+    group = ["novel", "leader"]
+    named = clusters.chosen.select(*group, F.col("canonical").alias("text"))
+    as_named = clusters.texts.join(named, [*group, "text"]).groupBy(*group).agg(F.sum("n").alias("n_canonical"))
+    occurrence = clusters.occurrence.join(as_named, group, "left")
     scored = (
-        chosen.join(occurrence, group)
+        clusters.chosen.join(occurrence, group)
         .join(totals.select("novel", "total_chapters"), "novel")
         .withColumn("frequency", X.rounded(F.least(F.col("n_chapters") / F.col("total_chapters"), F.lit(1.0)), 3))
         .withColumn("consistency", X.rounded(F.coalesce("n_canonical", "n_signals") / F.col("n_signals"), 3))
         .withColumn("raw_confidence", confidence(F.col("n_signals"), F.col("consistency"), base, per_occurrence))
         .withColumn("_conf", F.least("raw_confidence", F.lit(cap)))
-        .withColumn("_conf", F.when(verified, F.greatest("_conf", F.lit(0.85))).otherwise(F.col("_conf")))
+        .withColumn("_conf", F.when(F.lit(verified), F.greatest("_conf", F.lit(0.85))).otherwise(F.col("_conf")))
         .where(F.col("_conf") >= min_confidence)
         .select(
             *group,
@@ -232,7 +229,7 @@ def mine_policies(
     policies = cut(policies.withColumn("policy_id", F.format_string("p_%03d", "rank")))
 
     ids = policies.select(*group, "policy_id", "trigger")
-    alias_rank = ranked(aliases.join(ids, group).select("novel", "policy_id", "alias")
+    alias_rank = ranked(clusters.aliases.join(ids, group).select("novel", "policy_id", "alias")
                         .withColumn("_key", F.concat_ws("\u0001", "novel", "policy_id")), "_key", [F.col("alias")], "pos")
     all_forms = (
         ids.select("novel", "policy_id", F.lit(0).cast("bigint").alias("pos"), F.col("trigger").alias("form"))
@@ -247,9 +244,64 @@ def mine_policies(
     return Mined(
         public,
         all_forms,
-        keyed(evidence).select("novel", "policy_id", "chapter"),
-        keyed(quotes).select("novel", "policy_id", "pos", "context"),
+        keyed(clusters.evidence).select("novel", "policy_id", "chapter"),
+        keyed(clusters.quotes).select("novel", "policy_id", "pos", "context"),
+    )
+
+
+def mine_policies(
+    signals: DataFrame,
+    totals: DataFrame,
+    min_support: int = 2,
+    min_confidence: float = 0.4,
+    threshold: float = 0.3,
+    base: float = 0.5,
+    per_occurrence: float = 0.03,
+    cap: float = 0.99,
+    deterministic_at: float = 0.8,
+    merge_variants: bool = True,
+    min_len_for_edit: int = 1,
+    lex: Lexicon | None = None,
+    verify: Callable[[DataFrame], DataFrame] | None = None,
+) -> Mined:
+    """Signals to policies.  ``totals`` has ``novel, total_chapters``.
+
+    ``verify`` may take candidates ``novel, leader, canonical, aliases, contexts`` and return the confirmed
+    ones as ``novel, leader, canonical, aliases`` (null aliases keep the mined ones).
+    """
+    lex = lex or Lexicon()
+    counts = cut(form_counts(signals))
+    if merge_variants:
+        clusters = cluster_names(counts.select("novel", "name"), threshold, lex, min_len_for_edit)
+        forms = cut(counts.join(clusters, ["novel", "name"]))
+    else:
+        forms = counts.withColumn("leader", F.col("name"))
+    found = describe_clusters(forms, signals, min_support, lex)
+    if verify is not None:
+        found = _confirmed(found, verify)
+    return score_clusters(found, totals, min_confidence, base, per_occurrence, cap, deterministic_at, verify is not None)
+
+
+def _confirmed(found: Clusters, verify: Callable[[DataFrame], DataFrame]) -> Clusters:
+    """The clusters that ``verify`` confirms, under the names it gives."""
+    group = ["novel", "leader"]
+    listed = found.aliases.groupBy(*group).agg(F.sort_array(F.collect_set("alias")).alias("aliases"))
+    sentences = found.quotes.groupBy(*group).agg(F.sort_array(F.collect_list(F.struct("pos", "context"))).alias("q"))
+    candidates = found.chosen.join(listed, group, "left").join(sentences, group, "left")
+    confirmed = cut(
+        verify(candidates.select(*group, "canonical", "aliases", F.col("q.context").alias("contexts"))).select(
+            *group, F.col("canonical").alias("_name"), F.col("aliases").alias("_aliases")
+        )
+    )
+    chosen = found.chosen.join(confirmed, group).withColumn("canonical", F.coalesce("_name", "canonical")).drop("_name", "_aliases")
+    renamed = confirmed.where(F.col("_aliases").isNotNull())
+    aliases = (
+        found.aliases.join(renamed, group, "left_anti")
+        .join(confirmed.select(*group), group, "left_semi")
+        .unionByName(renamed.select(*group, F.explode("_aliases").alias("alias")))
+        .distinct()
     )
+    return replace(found, chosen=chosen, aliases=aliases)
 
 
 def _first_contexts(signals: DataFrame, forms: DataFrame, k: int = 3) -> DataFrame:

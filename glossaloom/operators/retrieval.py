@@ -157,33 +157,41 @@ def find_spans(texts: DataFrame, policies: DataFrame, forms: DataFrame) -> DataF
     return find_forms(texts, forms.join(policies.select("novel", "policy_id"), ["novel", "policy_id"], "left_semi"), ["policy_id", "pos", "form"])
 
 
-def contains_join(texts: DataFrame, phrases: DataFrame, keys: list[str], phrase: str, limit: int = SMALL_ROWS) -> DataFrame:
+#: Characters of the grams by which phrases of any kind are looked up in texts.
+GRAM = 3
+
+
+def _grams(text: Column, size: int) -> Column:
+    """The distinct runs of ``size`` characters, found in one pass over the text."""
+    return F.array_distinct(X.found(text, f"(?s)(?=({'.' * size}))", 1))
+
+
+def contains_join(texts: DataFrame, phrases: DataFrame, keys: list[str], phrase: str) -> DataFrame:
     """``texts`` rows with each phrase of their ``keys`` group that they contain, ignoring case.
 
-    ``texts`` has ``keys, text``; a phrase row that repeats counts once.  A phrase list of at most ``limit`` rows is broadcast as one array per
-    group; a longer one is joined on the first three characters of each phrase, then verified.
+    ``texts`` has ``keys, text`` (``keys`` may be empty); a phrase row that repeats counts once.  A phrase is looked up by the
+    one of its trigrams that the fewest texts hold, so a text meets only phrases whose rarest trigram it has, and the
+    candidates are verified.  The texts are read once to count trigrams and once to look them up; what is shuffled is one
+    number and a trigram per candidate, never the list of phrases as a whole.
     """
     extra = [c for c in phrases.columns if c not in keys]
-    known = phrases.where(F.col(phrase) != "").distinct()
-    within = lambda text, p: F.contains(F.lower(text), F.lower(p))
-    if known.limit(limit + 1).count() <= limit:
-        lists = known.groupBy(*keys).agg(F.collect_list(F.struct(*extra)).alias("_all"))
-        hits = texts.join(F.broadcast(lists), keys)
-        hit = F.explode(F.filter("_all", lambda p: within(F.col("text"), p[phrase])))
-        return hits.select(*texts.columns, hit.alias("_p")).select(*texts.columns, "_p.*")
-    ids = texts.withColumn("_row", F.xxhash64(*texts.columns))
+    known = phrases.where(F.col(phrase) != "").distinct().withColumn("_low", F.lower(phrase))
+    size = F.least(F.length("_low"), F.lit(GRAM))
+    # Phrases of one or two characters are looked up by themselves.
+    sizes = sorted(r[0] for r in known.select(size).distinct().collect()) or [GRAM]
+    rows = texts.withColumn("_row", F.xxhash64(*texts.columns))
     low = F.lower("text")
-    starts = F.array_distinct(
-        F.flatten(
-            F.transform(
-                F.sequence(F.lit(1), F.greatest(F.length(low), F.lit(1))),
-                lambda i: F.transform(F.sequence(F.lit(1), F.lit(3)), lambda n: F.substring(low, i, n)),
-            )
-        )
-    )
-    keyed = ids.select(*keys, "_row", F.explode(starts).alias("_start"))
-    candidates = (
-        keyed.join(known.withColumn("_start", F.substring(F.lower(phrase), 1, 3)), [*keys, "_start"])
-        .select(*keys, "_row", *extra).distinct()
+    in_texts = rows.select(*keys, "_row", F.explode(F.concat(*[_grams(low, n) for n in sizes])).alias("_gram"))
+    counts = in_texts.groupBy(*keys, "_gram").agg(F.count("*").alias("_texts"))
+
+    own = F.coalesce(*[F.when(size == n, _grams(F.col("_low"), n)) for n in sizes])
+    in_phrases = known.select(*keys, "_low").distinct().withColumn("_gram", F.explode(own))
+    # A phrase with a trigram that no text holds is in no text.
+    rarest = (
+        in_phrases.join(counts, [*keys, "_gram"], "left").groupBy(*keys, "_low")
+        .agg(F.min_by("_gram", F.struct("_texts", "_gram")).alias("_gram"), F.count_if(F.col("_texts").isNull()).alias("_absent"))
+        .where("_absent = 0").drop("_absent")
     )
-    return ids.join(candidates, [*keys, "_row"]).where(within(F.col("text"), F.col(phrase))).drop("_row")
+    looked_up = known.join(rarest, [*keys, "_low"]).select(*keys, *extra, "_low", "_gram")
+    candidates = in_texts.join(looked_up, [*keys, "_gram"]).select(*keys, "_row", *extra, "_low").distinct()
+    return rows.join(candidates, [*keys, "_row"]).where(F.contains(low, F.col("_low"))).select(*texts.columns, *extra)

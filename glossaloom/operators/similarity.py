@@ -1,7 +1,7 @@
 """Which names resemble each other: candidate pairs and cliques without comparing all pairs.
 
-Every relation is reached by an equi-join whose one side is unique per name, or by a key that two similar
-strings must share, so no group of names is multiplied with itself.
+Every relation is reached by an equi-join whose one side is unique per name, or by what two similar strings have in common
+once each has lost a few letters, so no group of names that grows with the data is multiplied with itself.
 """
 
 from __future__ import annotations
@@ -19,93 +19,121 @@ def _budget(length: Column, threshold: float) -> Column:
     return F.floor(length * threshold + _EPS).cast("int")
 
 
-def _segment(length: Column, budget: Column, i: Column) -> tuple[Column, Column]:
-    """Start and size of segment ``i`` when ``length`` characters are cut into ``budget + 1`` even segments."""
-    parts = budget + 1
+#: Budgets up to this are met by deleting letters from the whole name; beyond it names are cut into parts.
+WHOLE = 2
+
+
+def _shorter(s: Column) -> Column:
+    """Every string that ``s`` becomes by losing one character."""
+    return F.transform(F.sequence(F.lit(1), F.length(s)), lambda i: F.concat(F.substring(s, 1, i - 1), F.substring(s, i + 1, F.length(s))))
+
+
+def _less(s: Column, most: Column) -> Column:
+    """``s`` with up to ``most`` (0 to 2) characters deleted."""
+    none = F.array().cast("array<string>")
+    once = F.when((most >= 1) & (F.length(s) >= 1), _shorter(s)).otherwise(none)
+    twice = F.when((most >= 2) & (F.length(s) >= 2), F.flatten(F.transform(_shorter(s), _shorter))).otherwise(none)
+    return F.array_distinct(F.concat(F.array(s), once, twice))
+
+
+def _part(length: Column, parts: Column, i: Column) -> tuple[Column, Column]:
+    """Start and size of part ``i`` when ``length`` characters are cut into even ``parts``."""
     base = F.floor(length / parts).cast("int")
     short = parts - (length - base * parts)
     start = F.when(i < short, i * base).otherwise(short * base + (i - short) * (base + 1))
     return start, F.when(i < short, base).otherwise(base + 1)
 
 
-def edit_pairs(names: DataFrame, threshold: float, strict: bool = False, min_length: int = 1) -> DataFrame:
-    """Pairs ``novel, lo, hi`` of ``names(novel, name)`` with edit distance / longer length <= threshold.
+def _parts(d: Column) -> Column:
+    """So many parts that d edits leave one of them with at most one."""
+    return F.floor(d / 2).cast("int") + 1
+
+
+def _one_listed(a: DataFrame, b: DataFrame, keys: list[str], left: str, right: str, only: DataFrame | None) -> DataFrame:
+    """``a`` joined with ``b`` on ``keys``; with ``only(novel, name)`` just rows whose ``left`` or ``right`` is listed."""
+    if only is None:
+        return a.join(b, keys)
+    listed = lambda df, side: df.join(only.select("novel", F.col("name").alias(side)), ["novel", side], "left_semi")
+    return listed(a, left).join(b, keys).unionByName(a.join(listed(b, right), keys))
+
+
+def edit_pairs(names: DataFrame, threshold: float, strict: bool = False, min_length: int = 1, only: DataFrame | None = None) -> DataFrame:
+    """Pairs ``novel, lo, hi`` of ``names(novel, name)`` with edit distance / longer length <= threshold (at most 0.5).
 
-    Pigeonhole: a string cut into d+1 segments keeps one segment whole under d edits, near its place.
-    The shorter string is indexed by its segments, the longer probes the substrings that could be them.
-    ``strict`` makes the comparison ``<``.
+    Names within d edits become equal when each loses d letters, so both list what is left of them and meet there.  From
+    three edits on the shorter name is cut into d/2 + 1 parts, of which one must stand in the longer name, about at its
+    place, with at most one edit; again both list what is left after one deletion.  What meets in a key differs from it by
+    few letters, so no key grows with the vocabulary beyond what the alphabet allows.  ``strict`` makes the comparison ``<``;
+    ``only(novel, name)`` asks just for pairs of which one name is listed.
     """
     base = names.select("novel", "name").where(F.length("name") >= max(min_length, 1)).distinct()
-    length = F.length("name")
+    name, length = F.col("name"), F.length("name")
+    keys = "array<struct<l:int,d:int,i:int,seg:string>>"
+
+    def tagged(segs: Column, l: Column, d: Column, i: Column) -> Column:
+        return F.transform(segs, lambda s: F.struct(l.cast("int").alias("l"), d.cast("int").alias("d"), i.cast("int").alias("i"), s.alias("seg")))
 
+    whole = (F.lit(0), F.lit(0), F.lit(0))
     budgets = F.filter(
         F.array_distinct(
-            F.transform(
-                F.sequence(length, F.floor(length / (1.0 - threshold) + _EPS).cast("int")),
-                lambda longest: _budget(longest, threshold),
-            )
+            F.transform(F.sequence(length, F.floor(length / (1.0 - threshold) + _EPS).cast("int")), lambda longest: _budget(longest, threshold))
         ),
         lambda d: d >= 1,
     )
+    least, most = F.array_min(budgets), F.array_max(budgets)
 
-    def segments(d: Column) -> Column:
+    def own_parts(d: Column) -> Column:
         def one(i: Column) -> Column:
-            start, size = _segment(length, d, i)
-            return F.struct(
-                length.alias("l"), d.alias("d"), i.alias("i"), F.substring(F.col("name"), start + 1, size).alias("seg")
-            )
+            start, size = _part(length, _parts(d), i)
+            return X.let(F.substring(name, start + 1, size), lambda p: tagged(_less(p, F.lit(1)), length, d, i))
 
-        return F.transform(F.sequence(F.lit(0), d), one)
+        return F.flatten(F.transform(F.sequence(F.lit(0), _parts(d) - 1), one))
 
-    index = base.select(
-        "novel", F.col("name").alias("short"), F.explode(F.flatten(F.transform(budgets, segments))).alias("x")
-    ).select("novel", "short", "x.*")
+    by_part = F.flatten(F.transform(F.filter(budgets, lambda d: d > WHOLE), own_parts))
+    by_whole = F.when(least <= WHOLE, tagged(_less(name, F.least(most, F.lit(WHOLE))), *whole))
+    nothing = F.array().cast(keys)
+    index = base.select("novel", name.alias("short"), F.explode(F.concat(F.coalesce(by_whole, nothing), F.coalesce(by_part, nothing))).alias("x"))
 
     d = _budget(length, threshold)
 
-    def probes_for(l: Column) -> Column:
+    def places(l: Column) -> Column:
         gap = length - l
 
-        def at(i: Column) -> Column:
-            start, size = _segment(l, d, i)
-            low = F.greatest(F.lit(0), start - i, start + gap - (d - i))
-            high = F.least(length - size, start + i, start + gap + (d - i))
-            return X.only_if(
-                high >= low,
-                lambda: F.transform(
-                    F.sequence(low, high),
-                    lambda p: F.struct(
-                        l.alias("l"), d.alias("d"), i.alias("i"), F.substring(F.col("name"), p + 1, size).alias("seg")
-                    ),
-                ),
-            )
-
-        return F.flatten(F.transform(F.sequence(F.lit(0), d), at))
-
-    probes = (
-        base.where(d >= 1)
-        .select(
-            "novel",
-            F.col("name").alias("long"),
-            F.explode(
-                F.array_distinct(F.flatten(F.transform(F.sequence(F.greatest(length - d, F.lit(1)), length), probes_for)))
-            ).alias("x"),
-        )
-        .select("novel", "long", "x.*")
-    )
+        def of_part(i: Column) -> Column:
+            start, size = _part(l, _parts(d), i)
+
+            def of_size(more: int) -> Column:
+                # A part shifted by s, and what lies behind it by gap - s - more, cost so many edits at least.
+                fits = lambda s: (
+                    (F.abs(s) + F.abs(gap - s - more) + abs(more) <= d) & (start + s >= 0) & (start + s + size + more <= length) & (size + more >= 0)
+                )
+                shifts = F.filter(F.sequence(-d, d), fits)
+                piece = lambda s: F.substring(name, start + s + 1, size + more)
+                return F.flatten(F.transform(shifts, lambda s: F.array(piece(s)) if more < 0 else _shorter_of(piece(s))))
+
+            return tagged(F.array_distinct(F.concat(*[of_size(more) for more in (-1, 0, 1)])), l, d, i)
+
+        return F.flatten(F.transform(F.sequence(F.lit(0), _parts(d) - 1), of_part))
+
+    def _shorter_of(s: Column) -> Column:
+        return X.let(s, lambda t: F.when(F.length(t) >= 1, _shorter(t)).otherwise(F.array().cast("array<string>")))
+
+    in_parts = F.flatten(F.transform(F.sequence(F.greatest(length - d, F.lit(1)), length), places))
+    probing = F.when(d <= WHOLE, tagged(_less(name, d), *whole)).otherwise(in_parts)
+    probes = base.where(d >= 1).select("novel", name.alias("long"), F.explode(F.array_distinct(probing)).alias("x"))
     distance = F.levenshtein("short", "long") / F.length("long")
     near = distance < threshold if strict else distance <= threshold
     ordered = (F.length("short") < F.length("long")) | (F.col("short") < F.col("long"))
     return (
-        index.join(probes, ["novel", "l", "d", "i", "seg"])
+        _one_listed(index.select("novel", "short", "x.*"), probes.select("novel", "long", "x.*"), ["novel", "l", "d", "i", "seg"], "short", "long", only)
         .where(ordered & near)
         .select("novel", F.least("short", "long").alias("lo"), F.greatest("short", "long").alias("hi"))
         .distinct()
     )
 
 
-def substring_pairs(names: DataFrame, min_length: int = 4) -> DataFrame:
-    """``novel, short, long``: names contained in longer names.
+def substring_pairs(names: DataFrame, min_length: int = 4, only: DataFrame | None = None) -> DataFrame:
+    """``novel, short, long``: names contained in longer names; with ``only(novel, name)`` pairs of which one is listed.
 
     The longer side lists its substrings and looks them up, so the work is linear in the names.
     """
@@ -121,7 +149,8 @@ def substring_pairs(names: DataFrame, min_length: int = 4) -> DataFrame:
         "novel", F.col("name").alias("long"), F.explode(F.array_distinct(inner)).alias("short")
     )
     shorter = base.where(length >= min_length).select("novel", F.col("name").alias("short"))
-    return longer.join(shorter, ["novel", "short"]).select("novel", "short", "long")
+    found = _one_listed(shorter, longer, ["novel", "short"], "short", "long", only).select("novel", "short", "long")
+    return found if only is None else found.distinct()
 
 
 def shared_cliques(members: DataFrame) -> DataFrame:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from bisect import insort
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -117,6 +118,8 @@ def exemplars(chapters: DataFrame, per_scene: int = 3, embed_fn: Callable[[list[
 # --------------------------------------------------------------------------- exact top-k against a bank
 
 BANK_BLOCK = 5_000
+#: Rarest tokens of a query, and postings of a token as a multiple of k, from which its first threshold is taken.
+SEED_TOKENS, SEED_POSTINGS = 8, 2
 
 
 def top_k(
@@ -134,15 +137,96 @@ def top_k(
     ``queries`` has ``by, query_id, features``, ``bank`` the same with ``item_id``; features are distinct
     tokens (``jaccard``) or vectors (``cosine``), ``bonus`` names a bank column added to the score.  Ties go
     to the smaller ``item_id``.  ``earlier`` names a bank number that must be below a query number (bank column,
-    query column).  Both sides are dealt by hash into blocks of about ``block`` rows; each query block meets each
-    bank block in a task and keeps k rows a query, so no pair list exists and nothing passes through the driver.
+    query column).  Tokens meet in postings, see ``_by_postings``; vectors in blocks of about ``block`` rows of both sides,
+    each pair of which is a task that keeps k rows a query.  No pair list exists and nothing passes through the driver.
     """
     by = by or []
     number = F.col(earlier[0]) if earlier else F.lit(0)
     below = F.col(earlier[1]) if earlier else F.lit(float("inf"))
     extra = F.col(bonus) if bonus else F.lit(0.0)
-    bank = cut(bank.select(*by, "item_id", "features", extra.cast("double").alias("bonus"), number.cast("double").alias("number")))
+    bank = cut(bank.select(*by, "item_id", "features", extra.cast("double").alias("bonus"), number.cast("double").alias("number")).where("features is not null"))
     asked = cut(queries.select(*by, "query_id", "features", below.cast("double").alias("below")).where("features is not null"))
+    scored = _by_postings(asked, bank, k, by) if method == "jaccard" else _by_blocks(asked, bank, k, by, block)
+    return first_rows(scored, [*by, "query_id"], [F.col("score").desc(), F.col("item_id")], k, "rank")
+
+
+def _by_postings(asked: DataFrame, bank: DataFrame, k: int, by: list[str]) -> DataFrame:
+    """``by, query_id, item_id, score`` of all items that can be among the k best by shared tokens.
+
+    The rarest tokens of a query and the shortest items that hold them give a score that k items reach for certain.  An item
+    that reaches it too must share so many tokens with the query that it holds one beyond the query's last few, most common
+    ones; so those are never looked up, and are only compared with items that the rarer tokens leave in the running.
+    """
+    key = [*by, "query_id"]
+    postings = bank.select(*by, "item_id", "bonus", "number", F.size("features").alias("held"), F.explode("features").alias("t"))
+    spread = postings.groupBy(*by, "t").agg(F.count("*").alias("df"))
+    tokens = asked.select(*key, "below", F.size("features").alias("asking"), F.explode_outer("features").alias("t")).join(spread, [*by, "t"], "left")
+    # Rarest first; tokens that no item holds count for the size of the query only.
+    found = F.array_sort(F.collect_list(F.when(F.col("df").isNotNull(), F.struct("df", "t"))))
+    terms = cut(tokens.groupBy(*key).agg(F.first("below").alias("below"), F.first("asking").alias("asking"), found.alias("found")))
+
+    # Items that share nothing score their bonus; only the best of those can matter.
+    fillers = terms.select(*key, "below").join(_fillers(bank, k, by), by) if by else terms.select(*key, "below").join(F.broadcast(_fillers(bank, k, by)))
+    fillers = cut(first_rows(fillers.where("number < below"), key, [F.col("bonus").desc(), F.col("item_id")], k).select(*key, "item_id", F.col("bonus").alias("score")))
+    heads = first_rows(postings, [*by, "t"], [F.col("held"), F.col("item_id")], SEED_POSTINGS * k)
+    rare = terms.select(*key, "below", "asking", F.explode(F.slice(F.col("found.t"), 1, SEED_TOKENS)).alias("t"))
+    seeds = rare.join(heads, [*by, "t"]).where("number < below").groupBy(*key, "item_id").agg(
+        (F.count("*") / (F.first("asking") + F.first("held") - F.count("*")) + F.first("bonus")).alias("score")
+    )
+    sure = seeds.unionByName(fillers).groupBy(*key, "item_id").agg(F.max("score").alias("score"))
+    sure = first_rows(sure, key, [F.col("score").desc()], k).groupBy(*key).agg(F.min("score").alias("least"), F.count("*").alias("n"))
+    sure = sure.select(*key, F.when(F.col("n") >= k, F.col("least")).alias("least"))
+    terms = cut(terms.join(sure, key, "left"))
+
+    # Tokens that an item of this bonus must share: overlap / asking is more than its similarity can be.
+    needed = F.coalesce(F.greatest(F.ceil((F.col("least") - F.col("bonus")) * F.col("asking") - 1e-9), F.lit(1)), F.lit(1)).cast("int")
+    asked_for = terms.select(*key, "below", "asking", "least", F.size("found").alias("known"), F.posexplode("found.t").alias("place", "t"))
+    met = asked_for.join(postings, [*by, "t"]).withColumn("needed", needed).where((F.col("number") < F.col("below")) & (F.col("place") <= F.col("known") - F.col("needed")))
+    counted = met.groupBy(*key, "item_id").agg(F.count("*").cast("int").alias("shared"), *[F.first(c).alias(c) for c in ("held", "bonus", "asking", "least", "needed")])
+    score = lambda shared: shared / (F.col("asking") + F.col("held") - shared) + F.col("bonus")
+    most = F.least(F.col("shared") + F.col("needed") - 1, F.col("held"), F.col("asking"))
+    left = cut(counted.where(F.col("least").isNull() | (score(most) >= F.col("least") - 1e-9)))
+    common = F.slice(F.col("found.t"), F.size("found") - F.col("needed") + 2, F.col("needed") - 1)
+    more = left.where("needed > 1").join(terms.select(*key, "found"), key).join(bank.select(*by, "item_id", "features"), [*by, "item_id"])
+    more = more.withColumn("shared", F.col("shared") + F.size(F.array_intersect(common, "features"))).select(*left.columns)
+    reached = left.where("needed <= 1").unionByName(more).select(*key, "item_id", score(F.col("shared")).alias("score"))
+    return reached.unionByName(fillers.join(reached.select(*key, "item_id"), [*key, "item_id"], "left_anti"))
+
+
+def _fillers(bank: DataFrame, k: int, by: list[str]) -> DataFrame:
+    """``by, item_id, bonus, number`` of items that are among the k best by bonus, then id, of those up to some number.
+
+    Going up in number, an item counts if it is among the k best so far; each task passes on those of its rows, and what all
+    tasks leave, some k times the logarithm of the rows, is gone through once more.
+    """
+    columns = [*by, "item_id", "bonus", "number"]
+    schema = bank.select(*columns).schema
+
+    def best_so_far(rows: pd.DataFrame) -> pd.DataFrame:
+        rows = rows.sort_values(["number", "bonus", "item_id"], ascending=[True, False, True], kind="stable")
+        kept, best = [], []
+        for place, rank in enumerate(zip(-rows["bonus"].to_numpy(), rows["item_id"])):
+            if len(best) < k or rank < best[-1]:
+                kept.append(place)
+                insort(best, rank)
+                del best[k:]
+        return rows.iloc[kept]
+
+    def per_task(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        left = pd.DataFrame(columns=columns)
+        for frame in frames:
+            both = pd.concat([left, frame]) if len(left) else frame
+            left = pd.concat([best_so_far(rows) for _, rows in both.groupby(by, dropna=False)]) if by else best_so_far(both)
+        if len(left):
+            yield left
+
+    some = bank.select(*columns).mapInPandas(per_task, schema)
+    grouped = some.groupBy(*by) if by else some.groupBy(F.lit(1))
+    return grouped.applyInPandas(best_so_far, schema)
+
+
+def _by_blocks(asked: DataFrame, bank: DataFrame, k: int, by: list[str], block: int) -> DataFrame:
+    """``by, query_id, item_id, score``: both sides dealt by hash into blocks; k rows a query and pair of blocks."""
     blocks = lambda df: max(1, -(-(df.groupBy(*by).count().agg(F.max("count")).head()[0] or 0) // block))
     n_bank, n_asked = blocks(bank), blocks(asked)
     deal = lambda df, key, own, n, other, m: df.withColumn(own, F.pmod(F.xxhash64(key), F.lit(n))).withColumn(
@@ -155,31 +239,20 @@ def top_k(
         [asked.schema[c] for c in by]
         + [asked.schema["query_id"], T.StructField("item_id", bank.schema["item_id"].dataType), T.StructField("score", T.DoubleType())]
     )
-    met = left.groupBy(*cell).cogroup(right.groupBy(*cell)).applyInPandas(_cell_scorer(by, k, method), schema)
-    return first_rows(met, [*by, "query_id"], [F.col("score").desc(), F.col("item_id")], k, "rank")
-
-
-def _similarities(queries: pd.Series, items: pd.Series, method: str) -> Iterator[np.ndarray]:
-    """For each query its similarity to all items: cosine of vectors, or Jaccard over distinct tokens."""
-    if method == "cosine":
-        matrix = np.array(items.to_list(), dtype=np.float64)
-        norms = np.sqrt((matrix * matrix).sum(axis=1))
-        for features in queries:
-            q = np.asarray(features, dtype=np.float64)
-            dots, scale = matrix @ q, norms * np.sqrt((q * q).sum())
-            yield np.divide(dots, scale, out=np.zeros_like(dots), where=scale > 0)
-        return
-    sizes = items.map(len).to_numpy(np.float64)
-    places = pd.Series(np.repeat(np.arange(len(items)), sizes.astype(int)), index=np.concatenate([np.asarray(t, object) for t in items]))
-    holders = {token: at.to_numpy() for token, at in places.groupby(level=0)}
+    return left.groupBy(*cell).cogroup(right.groupBy(*cell)).applyInPandas(_cell_scorer(by, k), schema)
+
+
+def _cosines(queries: pd.Series, items: pd.Series) -> Iterator[np.ndarray]:
+    """For each query vector its cosine with all items."""
+    matrix = np.array(items.to_list(), dtype=np.float64)
+    norms = np.sqrt((matrix * matrix).sum(axis=1))
     for features in queries:
-        met = [holders[t] for t in features if t in holders]
-        shared = np.bincount(np.concatenate(met), minlength=len(items)).astype(np.float64) if met else np.zeros(len(items))
-        union = sizes + len(features) - shared
-        yield np.divide(shared, union, out=np.zeros_like(shared), where=(union > 0) & (sizes > 0) & (len(features) > 0))
+        q = np.asarray(features, dtype=np.float64)
+        dots, scale = matrix @ q, norms * np.sqrt((q * q).sum())
+        yield np.divide(dots, scale, out=np.zeros_like(dots), where=scale > 0)
 
 
-def _cell_scorer(by: list[str], k: int, method: str) -> Callable[[pd.DataFrame, pd.DataFrame], pd.DataFrame]:
+def _cell_scorer(by: list[str], k: int) -> Callable[[pd.DataFrame, pd.DataFrame], pd.DataFrame]:
     """Scores the queries of one block against the items of one block."""
 
     def score(asked: pd.DataFrame, bank: pd.DataFrame) -> pd.DataFrame:
@@ -188,7 +261,7 @@ def _cell_scorer(by: list[str], k: int, method: str) -> Callable[[pd.DataFrame,
         if bank.empty or asked.empty:
             return pd.DataFrame(found, columns=columns)
         ids, bonus, numbers = bank["item_id"].to_numpy(), bank["bonus"].to_numpy(), bank["number"].to_numpy()
-        for row, values in zip(asked.to_dict("records"), _similarities(asked["features"], bank["features"], method)):
+        for row, values in zip(asked.to_dict("records"), _cosines(asked["features"], bank["features"])):
             open_items = numbers < row["below"]
             # items lie in id order, so a stable sort keeps ties in it
             best = np.argsort(-np.where(open_items, values + bonus, -np.inf), kind="stable")[: min(k, int(open_items.sum()))]

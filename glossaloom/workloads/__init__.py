@@ -7,7 +7,7 @@ from importlib import import_module
 
 from pyspark.sql import DataFrame, SparkSession
 
-MODULES = ["names", "passages", "voice", "alignment", "stores", "serials"]
+MODULES = ["names", "miner", "passages", "voice", "alignment", "stores", "serials"]
 
 
 def _merged(attribute: str) -> dict:

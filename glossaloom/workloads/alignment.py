@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from glossaloom.operators import alignment as A
 from glossaloom.operators import chunks as C
 from glossaloom.operators.style import METRICS
+from glossaloom.plans.ordered import ranked
 from glossaloom.workloads.frames import chapters, table, texts, turns
 from glossaloom.workloads.voice import _sentences, sql_round
 
@@ -35,7 +36,8 @@ def _names(spark, sf):
     """The capitalised words of all benchmark passages stand for glossary names."""
     words = F.regexp_extract_all("text", F.lit("([A-Z][a-z]{2,})"), 1)
     items = table(spark, sf, "benchmark").select("item_id", F.explode(words).alias("name"))
-    return items.groupBy("name").agg(F.min("item_id").alias("pos")).select(F.lit("talk").alias("novel"), "pos", "name")
+    firsts = items.groupBy("name").agg(F.min("item_id").alias("item_id")).withColumn("novel", F.lit("talk"))
+    return ranked(firsts, "novel", [F.col("item_id"), F.col("name")], "pos").select("novel", "pos", "name")
 
 
 def turn_similarity(spark, sf):
@@ -131,7 +133,7 @@ faith as (select {keys},
   case when len(st) > 0 then {sql_round("len(list_intersect(gt, st)) / len(st)", 4)} end as coverage from fp)"""
 
 
-_REMOVED = "list_reduce(list_prepend({c}, (select list(name order by pos) from names)), lambda acc, n: regexp_replace(acc, n, ' ', 'gi'))"
+_REMOVED = "list_reduce(list_prepend({c}, (select list(name order by pos, name) from names)), lambda acc, n: regexp_replace(acc, n, ' ', 'gi'))"
 _BANK_SIM = f"""
 bank as (select t, count(*) as n from (select unnest(regexp_extract_all(lower(text), '[a-z'']+')) as t from benchmark) group by t),
 gen_t as (select chapter, t, count(*) as m from (select chapter, unnest(regexp_extract_all(lower(generated), '[a-z'']+')) as t from gen) group by all),

@@ -112,14 +112,27 @@ def test_known_errors_respect_protected_terms(spark):
     assert {(r.chapter, r.id) for r in seen} == {(1, "r1"), (1, "r2"), (1, "r3"), (3, "r2"), (3, "r4")}
 
 
-def test_contains_join_long_list_equals_short_list(spark):
-    texts = spark.createDataFrame([("n", 1, "Hello There"), ("n", 2, "x"), ("m", 1, "hello")], "novel string, chapter bigint, text string")
-    phrases = spark.createDataFrame([("n", "ello t"), ("n", "X"), ("n", "h"), ("m", "lo"), ("m", "zz")], "novel string, p string")
-    rows = [
-        sorted(map(tuple, R.contains_join(texts, phrases, ["novel"], "p", limit).select("novel", "chapter", "p").collect()))
-        for limit in (1000, 1)
-    ]
-    assert rows[0] == rows[1] == [("m", 1, "lo"), ("n", 1, "ello t"), ("n", 1, "h"), ("n", 2, "X")]
+def test_contains_join_equals_brute_force(spark):
+    rng = random.Random(2)
+    word = lambda n: "".join(rng.choice("abAB É") for _ in range(n))
+    texts = [(rng.choice("mn"), i, word(rng.randint(0, 60))) for i in range(80)] + [("n", 100, None), ("n", 3, "abc"), ("n", 3, "abc"), (None, 5, "abc")]
+    phrases = [(rng.choice("mno"), word(rng.randint(1, 6))) for _ in range(120)] + [("n", "abc"), ("n", "abc"), ("n", ""), ("n", None), ("m", "É")]
+    t = spark.createDataFrame(texts, "novel string, chapter bigint, text string")
+    p = spark.createDataFrame(phrases, "novel string, p string")
+    got = sorted((r.novel, r.chapter, r.p) for r in R.contains_join(t, p, ["novel"], "p").collect())
+    want = sorted((n, c, q) for n, c, x in texts for m, q in set(phrases) if n == m and q and x is not None and q.lower() in x.lower())
+    assert got == want
+    everywhere = sorted((r.chapter, r.p) for r in R.contains_join(t.drop("novel"), p.select("p"), [], "p").collect())
+    assert everywhere == sorted((c, q) for _, c, x in texts for q in {q for _, q in phrases} if q and x is not None and q.lower() in x.lower())
+    assert R.contains_join(t, p.limit(0), ["novel"], "p").count() == 0 and R.contains_join(t.limit(0), p, ["novel"], "p").count() == 0
+
+
+def test_contains_join_with_very_many_phrases(spark):
+    phrases = spark.range(200_000).select(F.lit("n").alias("novel"), F.concat(F.lit("the term "), F.hex(F.xxhash64("id"))).alias("p"))
+    wanted = {r.p for r in phrases.where("p like '%7A'").limit(40).collect()}
+    texts = spark.createDataFrame([("n", i, f"before {p.upper()} after the term") for i, p in enumerate(sorted(wanted))], "novel string, chapter bigint, text string")
+    found = R.contains_join(texts, phrases, ["novel"], "p").collect()
+    assert {r.p for r in found} == wanted and len(found) == 40
 
 
 def test_shield_longest_name_first_and_restore(spark):
