@@ -39,41 +39,53 @@ def leaders_and_components(names: DataFrame, pairs: DataFrame, cliques: DataFram
         cliques.select("novel", "name", F.lit(True).alias("grouped"), F.col("clique").alias("other"))
     )
     links = cut(links.distinct())
-    vertex = lambda grouped, value: F.struct("novel", grouped.alias("grouped"), value.alias("value"))
-    edges = links.select(vertex(F.lit(False), F.col("name")).alias("a"), vertex(F.col("grouped"), F.col("other")).alias("b"))
-    of = cut(components(edges).where("not node.grouped").select("node.novel", F.col("node.value").alias("name"), "component"))
-    linked = cut(links.join(of, keys))
-    sizes = linked.groupBy("component").agg(F.count("*").alias("n_links"))
-    large = cut(sizes.where(F.col("n_links") > task_links).select("component"))
-    scanned = linked.join(large, "component", "left_anti").groupBy("component").applyInPandas(_scan, "novel string, name string, leader string")
-    found = cut(scanned)
-    if not large.isEmpty():
-        rest = linked.join(large, "component", "left_semi")
-        found = found.unionByName(_by_rounds(
-            rest.where("not grouped").select("novel", F.col("name").alias("lo"), F.col("other").alias("hi")),
-            rest.where("grouped").select("novel", "name", F.col("other").alias("clique")),
-        ))
-    # Names sort before cliques, so the least vertex of a component is its first name.
-    found = found.join(of.select(*keys, F.col("component.value").alias("component")), keys)
+    if links.count() <= task_links:
+        # No component can be too large for a task: a novel is scanned as a whole.
+        found = cut(links.groupBy("novel").applyInPandas(_scan, _FOUND))
+    else:
+        vertex = lambda grouped, value: F.struct("novel", grouped.alias("grouped"), value.alias("value"))
+        edges = links.select(vertex(F.lit(False), F.col("name")).alias("a"), vertex(F.col("grouped"), F.col("other")).alias("b"))
+        # Names sort before cliques, so the least vertex of a component is its first name.
+        of = cut(components(edges).where("not node.grouped").select("node.novel", F.col("node.value").alias("name"), F.col("component.value").alias("component")))
+        linked = cut(links.join(of, keys))
+        part = ["novel", "component"]
+        large = cut(linked.groupBy(*part).agg(F.count("*").alias("n")).where(F.col("n") > task_links).select(*part))
+        found = cut(linked.join(large, part, "left_anti").groupBy(*part).applyInPandas(_scan, _FOUND))
+        if not large.isEmpty():
+            rest = linked.join(large, part, "left_semi")
+            decided = _by_rounds(
+                rest.where("not grouped").select("novel", F.col("name").alias("lo"), F.col("other").alias("hi")),
+                rest.where("grouped").select("novel", "name", F.col("other").alias("clique")),
+            )
+            found = found.unionByName(decided.join(of, keys))
     lonely = names.select(*keys).distinct().join(found, keys, "left_anti").withColumns({"leader": F.col("name"), "component": F.col("name")})
     return found.unionByName(lonely)
 
 
+_FOUND = "novel string, name string, leader string, component string"
+
+
 def _scan(links: pd.DataFrame) -> pd.DataFrame:
-    """The scan over one component; every link is looked at once, as a clique has at most one leader that takes from it."""
+    """The scan over whole components; every link is looked at once, as a clique has at most one leader that takes from it."""
     later, groups, members = defaultdict(list), defaultdict(list), defaultdict(list)
-    order = set()
+    above: dict[tuple, tuple] = {}  # towards the least vertex of a component
+
+    def top(vertex: tuple) -> tuple:
+        while above.setdefault(vertex, vertex) != vertex:
+            above[vertex] = vertex = above[above[vertex]]
+        return vertex
+
     for name, grouped, other in zip(links["name"], links["grouped"], links["other"]):
-        order.add(name)
         if grouped:
             groups[name].append(other)
             members[other].append(name)
         else:
-            order.add(other)
             later[name].append(other)
+        low, high = sorted((top((False, name)), top((bool(grouped), other))))
+        above[high] = low
     leader: dict[str, str] = {}
     # In the order in which Spark sorts strings: by their UTF-8 bytes, which is the order of code points.
-    for name in sorted(order):
+    for name in sorted(value for grouped, value in above if not grouped):
         if name in leader:
             continue
         leader[name] = name
@@ -81,7 +93,8 @@ def _scan(links: pd.DataFrame) -> pd.DataFrame:
         for other in taken:
             if other > name:
                 leader.setdefault(other, name)
-    return pd.DataFrame({"novel": links["novel"].iloc[0], "name": list(leader), "leader": list(leader.values())})
+    parts = [top((False, name))[1] for name in leader]
+    return pd.DataFrame({"novel": links["novel"].iloc[0], "name": list(leader), "leader": list(leader.values()), "component": parts})
 
 
 def _by_rounds(pairs: DataFrame, cliques: DataFrame) -> DataFrame:

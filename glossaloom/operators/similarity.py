@@ -66,66 +66,45 @@ def edit_pairs(names: DataFrame, threshold: float, strict: bool = False, min_len
     few letters, so no key grows with the vocabulary beyond what the alphabet allows.  ``strict`` makes the comparison ``<``;
     ``only(novel, name)`` asks just for pairs of which one name is listed.
     """
-    base = names.select("novel", "name").where(F.length("name") >= max(min_length, 1)).distinct()
-    name, length = F.col("name"), F.length("name")
-    keys = "array<struct<l:int,d:int,i:int,seg:string>>"
-
-    def tagged(segs: Column, l: Column, d: Column, i: Column) -> Column:
-        return F.transform(segs, lambda s: F.struct(l.cast("int").alias("l"), d.cast("int").alias("d"), i.cast("int").alias("i"), s.alias("seg")))
-
-    whole = (F.lit(0), F.lit(0), F.lit(0))
-    budgets = F.filter(
-        F.array_distinct(
-            F.transform(F.sequence(length, F.floor(length / (1.0 - threshold) + _EPS).cast("int")), lambda longest: _budget(longest, threshold))
-        ),
-        lambda d: d >= 1,
-    )
-    least, most = F.array_min(budgets), F.array_max(budgets)
-
-    def own_parts(d: Column) -> Column:
-        def one(i: Column) -> Column:
-            start, size = _part(length, _parts(d), i)
-            return X.let(F.substring(name, start + 1, size), lambda p: tagged(_less(p, F.lit(1)), length, d, i))
-
-        return F.flatten(F.transform(F.sequence(F.lit(0), _parts(d) - 1), one))
-
-    by_part = F.flatten(F.transform(F.filter(budgets, lambda d: d > WHOLE), own_parts))
-    by_whole = F.when(least <= WHOLE, tagged(_less(name, F.least(most, F.lit(WHOLE))), *whole))
-    nothing = F.array().cast(keys)
-    index = base.select("novel", name.alias("short"), F.explode(F.concat(F.coalesce(by_whole, nothing), F.coalesce(by_part, nothing))).alias("x"))
-
-    d = _budget(length, threshold)
-
-    def places(l: Column) -> Column:
-        gap = length - l
+    base = names.select("novel", "name", F.length("name").alias("n")).where(F.col("n") >= max(min_length, 1)).distinct()
+    length, key = F.col("n"), ["novel", "l", "d", "i", "seg"]
+    no_part = [F.lit(0).alias(c) for c in ("l", "d", "i")]
 
-        def of_part(i: Column) -> Column:
-            start, size = _part(l, _parts(d), i)
-
-            def of_size(more: int) -> Column:
-                # A part shifted by s, and what lies behind it by gap - s - more, cost so many edits at least.
-                fits = lambda s: (
-                    (F.abs(s) + F.abs(gap - s - more) + abs(more) <= d) & (start + s >= 0) & (start + s + size + more <= length) & (size + more >= 0)
-                )
-                shifts = F.filter(F.sequence(-d, d), fits)
-                piece = lambda s: F.substring(name, start + s + 1, size + more)
-                return F.flatten(F.transform(shifts, lambda s: F.array(piece(s)) if more < 0 else _shorter_of(piece(s))))
-
-            return tagged(F.array_distinct(F.concat(*[of_size(more) for more in (-1, 0, 1)])), l, d, i)
-
-        return F.flatten(F.transform(F.sequence(F.lit(0), _parts(d) - 1), of_part))
-
-    def _shorter_of(s: Column) -> Column:
-        return X.let(s, lambda t: F.when(F.length(t) >= 1, _shorter(t)).otherwise(F.array().cast("array<string>")))
+    # Budgets of all longer names that a name may be the shorter one of.
+    budgets = F.array_distinct(
+        F.transform(F.sequence(length, F.floor(length / (1.0 - threshold) + _EPS).cast("int")), lambda longest: _budget(longest, threshold))
+    )
+    able = base.withColumn("budgets", F.filter(budgets, lambda d: d >= 1)).where(F.size("budgets") > 0)
+    whole = able.where(F.array_min("budgets") <= WHOLE).withColumn("most", F.least(F.array_max("budgets"), F.lit(WHOLE)))
+    index = whole.select("novel", F.col("name").alias("short"), *no_part, F.explode(_less(F.col("name"), F.col("most"))).alias("seg"))
+    parts = able.select("novel", "name", "n", F.explode(F.filter("budgets", lambda d: d > WHOLE)).alias("d")).withColumn("m", _parts(F.col("d")))
+    parts = parts.select("*", F.explode(F.sequence(F.lit(0), F.col("m") - 1)).alias("i"))
+    start, size = _part(length, F.col("m"), F.col("i"))
+    parts = parts.withColumns({"start": start, "size": size}).withColumn("part", F.substring("name", F.col("start") + 1, F.col("size")))
+    index = index.unionByName(parts.select("novel", F.col("name").alias("short"), length.alias("l"), "d", "i", F.explode(_less(F.col("part"), F.lit(1))).alias("seg")))
+
+    asking = base.withColumn("d", _budget(length, threshold)).where("d >= 1")
+    near_whole = asking.where(F.col("d") <= WHOLE)
+    probes = near_whole.select("novel", F.col("name").alias("long"), *no_part, F.explode(_less(F.col("name"), F.col("d"))).alias("seg"))
+    places = asking.where(F.col("d") > WHOLE).withColumn("m", _parts(F.col("d")))
+    places = places.select("*", F.explode(F.sequence(F.greatest(length - F.col("d"), F.lit(1)), length)).alias("l"))
+    places = places.select("*", F.explode(F.sequence(F.lit(0), F.col("m") - 1)).alias("i"))
+    start, size = _part(F.col("l"), F.col("m"), F.col("i"))
+    places = places.withColumns({"start": start, "size": size}).select("*", F.explode(F.array(*[F.lit(x) for x in (-1, 0, 1)])).alias("more"))
+    # A part shifted by s, and what lies behind it by the rest of the difference, cost so many edits at least.
+    places = places.select("*", F.explode(F.sequence(-F.col("d"), F.col("d"))).alias("s"), (length - F.col("l")).alias("gap"))
+    at, wide = F.col("start") + F.col("s"), F.col("size") + F.col("more")
+    places = places.where((F.abs("s") + F.abs(F.col("gap") - F.col("s") - F.col("more")) + F.abs("more") <= F.col("d")) & (at >= 0) & (wide >= 0) & (at + wide <= length))
+    places = places.withColumn("piece", F.substring("name", at + 1, wide))
+    # A piece shorter than the part is what the part may be left with; of the others, one letter less.
+    left = F.when(F.col("more") < 0, F.array("piece")).when(F.length("piece") >= 1, _shorter(F.col("piece")))
+    probes = probes.unionByName(places.select("novel", F.col("name").alias("long"), "l", "d", "i", F.explode(left).alias("seg")).distinct())
 
-    in_parts = F.flatten(F.transform(F.sequence(F.greatest(length - d, F.lit(1)), length), places))
-    probing = F.when(d <= WHOLE, tagged(_less(name, d), *whole)).otherwise(in_parts)
-    probes = base.where(d >= 1).select("novel", name.alias("long"), F.explode(F.array_distinct(probing)).alias("x"))
     distance = F.levenshtein("short", "long") / F.length("long")
     near = distance < threshold if strict else distance <= threshold
     ordered = (F.length("short") < F.length("long")) | (F.col("short") < F.col("long"))
     return (
-        _one_listed(index.select("novel", "short", "x.*"), probes.select("novel", "long", "x.*"), ["novel", "l", "d", "i", "seg"], "short", "long", only)
+        _one_listed(index, probes, key, "short", "long", only)
         .where(ordered & near)
         .select("novel", F.least("short", "long").alias("lo"), F.greatest("short", "long").alias("hi"))
         .distinct()

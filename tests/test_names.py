@@ -12,7 +12,8 @@ from glossaloom.lexicon import NAME_STOPWORDS, Lexicon
 from glossaloom.operators import extract as E
 from glossaloom.operators import glossary as G
 from glossaloom.operators import mining as M
-from glossaloom.operators.similarity import edit_pairs
+from glossaloom.operators.clustering import leaders_and_components
+from glossaloom.operators.similarity import _less, edit_pairs
 
 TEXTS = [
     "Lord Theodore Sinclair crossed the yard of the Sinclair Estate. His knight Ian Hanover followed. 'My Lord, the Rondo "
@@ -143,6 +144,43 @@ def test_clusters_equal_the_sequential_scan(spark, parts):
     assert {k[1]: v for k, v in got.items() if k[0] == "n"} == want and got[("m", "li qing")] == "li qing"
 
 
+@pytest.mark.parametrize("task_links", [0, 6, 40])
+def test_large_components_are_decided_by_rounds(spark, task_links):
+    """However few links a task may scan, leaders and components are those of one scan."""
+    rng = random.Random(task_links)
+    names = [f"{a}{b}" for a in "abcdefgh" for b in "xyz"]
+    pairs = sorted({tuple(sorted(rng.sample(names, 2))) for _ in range(14)})
+    cliques = [(rng.choice(names), rng.choice(["k1", "k2", "k3"])) for _ in range(9)]
+    near = set(pairs) | {tuple(sorted((a, b))) for a, k in cliques for b, m in cliques if k == m and a != b}
+    df = spark.createDataFrame([("n", x) for x in names], "novel string, name string")
+    p = spark.createDataFrame([("n", *x) for x in pairs], "novel string, lo string, hi string")
+    c = spark.createDataFrame([("n", *x) for x in set(cliques)], "novel string, name string, clique string")
+    part = {x: {x} for x in names}
+    for a, b in near:
+        joined = part[a] | part[b]
+        part |= dict.fromkeys(joined, joined)
+    got = {r.name: (r.leader, r.component) for r in leaders_and_components(df, p, c, task_links).collect()}
+    assert got == {x: (y, min(part[x])) for x, y in scan(names, lambda a, b: (a, b) in near).items()}
+
+
+def test_names_of_four_letters_share_no_hot_key(spark):
+    """200,000 names of four letters: no key holds a hundredth of the rows, and the pairs are those of single edits."""
+    letters = "abcdefghijklmnopqrstuvwxyz"
+    ids = spark.range(26**4).where(F.pmod(F.xxhash64("id"), F.lit(16)) < 7)
+    name = F.concat(*[F.substring(F.lit(letters), F.floor(F.col("id") / 26**i).cast("int") % 26 + 1, 1) for i in range(4)])
+    df = ids.select(F.lit("n").alias("novel"), name.alias("name"))
+    keys = df.select(F.explode(_less(F.col("name"), F.lit(1))).alias("seg")).groupBy("seg").count()
+    rows = keys.agg(F.sum("count").alias("all"), F.max("count").alias("most")).first()
+    assert df.count() > 195_000 and rows.most * 100 < rows.all
+    listed = df.where("name < 'aaz'").limit(40)
+    held = {r.name for r in df.collect()}
+    got = {(r.lo, r.hi) for r in edit_pairs(df, 0.3, only=listed).collect()}
+    want = set()
+    for a in (r.name for r in listed.collect()):
+        want |= {tuple(sorted((a, b))) for i in range(4) for x in letters if (b := a[:i] + x + a[i + 1 :]) != a and b in held}
+    assert got == want
+
+
 def signals(spark, by_chapter):
     rows = []
     for chapter, names in by_chapter.items():

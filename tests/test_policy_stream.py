@@ -34,7 +34,8 @@ def test_every_batch_gives_what_mining_all_gives(spark, tmp_path):
     for number, batch in enumerate((FIRST, SECOND, THIRD)):
         stream.advance(spark.createDataFrame(batch, CHAPTER_SCHEMA), number)
         chapters |= {(n, c): t for n, c, t in batch}
-        assert rows(stream.policies()) == rows(at_once(spark, chapters))
+        expected = rows(at_once(spark, chapters))
+        assert rows(stream.policies()) == expected
     done = {r.batch: r for r in stream.progress().collect()}
     # Only components with a new or lost name are clustered again: novel m and the names around Dominic stay.
     everything = sum(done[b].new_names - done[b].lost_names for b in done)
@@ -42,7 +43,7 @@ def test_every_batch_gives_what_mining_all_gives(spark, tmp_path):
     assert 0 < done[1].clustered_names < done[0].new_names + done[1].new_names and 0 < done[2].clustered_names < everything
     # A batch that is run again after a failure changes nothing.
     stream.advance(spark.createDataFrame(THIRD, CHAPTER_SCHEMA), 2)
-    assert rows(stream.policies()) == rows(at_once(spark, chapters))
+    assert rows(stream.policies()) == expected
 
 
 def test_a_stream_of_files(spark, tmp_path):
