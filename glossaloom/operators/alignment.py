@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from glossaloom.functions import text as X
 from glossaloom.operators.retrieval import contains_join
 from glossaloom.operators.style import METRICS, stylometry, stylometry_delta, voice_richness
+from glossaloom.plans.lineage import cut
 
 LONE_WEIGHT = 2.1640825608571353  # (ln(3/2) + 1) squared: a token only one of the two texts has
 
@@ -41,15 +42,21 @@ def contained_names(texts: DataFrame, names: DataFrame, keys: list[str]) -> Data
     return hits.groupBy(*keys).agg(F.transform(F.array_sort(F.collect_set(F.struct("pos", "name"))), lambda s: s["name"]).alias("names"))
 
 
+def without_names(rows: DataFrame, columns: list[str], names: DataFrame, keys: list[str]) -> DataFrame:
+    """``keys`` and ``columns`` of ``rows``, every listed name blanked out; a null text is empty.
+
+    A name that only one of the texts holds leaves the others as they are, so all columns are looked through together.
+    """
+    listed = contained_names(rows.select(*keys, F.concat_ws("\n", *columns).alias("text")), names, keys)
+    joined = rows.select(*keys, *columns).join(listed, keys, "left")
+    held = F.coalesce("names", F.array().cast("array<string>"))
+    return joined.select(*keys, *[_without(F.coalesce(c, F.lit("")), held).alias(c) for c in columns])
+
+
 def similarity_excluding(pairs: DataFrame, a: str, b: str, names: DataFrame, output: str, keys: list[str]) -> DataFrame:
     """Add ``output``: the similarity of ``a`` and ``b`` once every listed name is blanked out of both."""
-    both = pairs.select(*keys, F.concat_ws("\n", a, b).alias("text"))
-    listed = contained_names(both, names, keys).withColumnRenamed("names", "_names")
-    joined = pairs.join(listed, keys, "left").withColumn("_names", F.coalesce("_names", F.array().cast("array<string>")))
-    joined = joined.withColumn("_a", _without(F.coalesce(a, F.lit("")), F.col("_names"))).withColumn(
-        "_b", _without(F.coalesce(b, F.lit("")), F.col("_names"))
-    )
-    return joined.withColumn(output, similarity(F.col("_a"), F.col("_b"))).drop("_names", "_a", "_b")
+    bare = without_names(pairs, [a, b], names, keys).select(*keys, similarity(F.col(a), F.col(b)).alias(output))
+    return pairs.join(bare, keys, "left")
 
 
 def align_paired(df: DataFrame) -> DataFrame:
@@ -154,9 +161,13 @@ def alignment_report(generated: DataFrame, original: DataFrame, mtl: DataFrame,
         .join(mtl.select(*keys, F.col("text").alias("mtl")), keys, "left")
         .withColumn("tier", F.when(F.col("original").isNotNull(), 1).otherwise(2))
     )
-    rows = faithfulness(align_paired(rows).withColumn("source", F.coalesce("original", "mtl")))
-    for side in ("generated", "mtl"):
-        rows = similarity_excluding(rows, side, "original", names, f"sim_{side}_original_norm", keys)
+    # The texts of a chapter side by side: looked through for names, and measured.
+    rows = cut(rows)
+    bare = without_names(rows, ["generated", "original", "mtl"], names, keys).withColumn("_o", text_histogram(F.col("original")))
+    bare = cut(bare.select(*keys, *[
+        X.rounded(X.tfidf_cosine(text_histogram(F.col(side)), F.col("_o")), 4).alias(f"sim_{side}_original_norm") for side in ("generated", "mtl")
+    ]))
+    rows = faithfulness(align_paired(rows).withColumn("source", F.coalesce("original", "mtl"))).join(bare, keys, "left")
     for side in ("generated", "original", "mtl"):
         rows = stylometry(rows, side, f"{side}_")
     rows = rows.select(

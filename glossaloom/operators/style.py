@@ -221,8 +221,7 @@ def _fillers(bank: DataFrame, k: int, by: list[str]) -> DataFrame:
             yield left
 
     some = bank.select(*columns).mapInPandas(per_task, schema)
-    grouped = some.groupBy(*by) if by else some.groupBy(F.lit(1))
-    return grouped.applyInPandas(best_so_far, schema)
+    return some.groupBy(*(by or [F.lit("all")])).applyInPandas(best_so_far, schema)
 
 
 def _by_blocks(asked: DataFrame, bank: DataFrame, k: int, by: list[str], block: int) -> DataFrame:

@@ -140,8 +140,8 @@ policies as (
 # The sentence around the tokens a to b of a document, cut at 200 characters.
 QUOTES = POLICIES + """,
 around as (
-  select p.novel, p.leader, p.seq, p.name, trim(regexp_extract(array_to_string(tk[1:a - 1], ''), '[^.!?\\n]*$') || array_to_string(tk[a:b], '')
-    || regexp_extract(array_to_string(tk[b + 1:], ''), '^[^.!?\\n]*'), e' \\t\\n\\r')[:200] as context
+  select p.novel, p.leader, p.seq, p.name, trim(trim(regexp_extract(array_to_string(tk[1:a - 1], ''), '[^.!?\\n]*$') || array_to_string(tk[a:b], '')
+    || regexp_extract(array_to_string(tk[b + 1:], ''), '^[^.!?\\n]*'), e' \\t\\n\\r')[:200], e' \\t\\n\\r') as context
   from placed p join docs using (novel, chapter)),
 quotes as (
   select *, row_number() over (partition by novel, leader order by first_at) as pos
