@@ -98,7 +98,7 @@ def edit_pairs(names: DataFrame, threshold: float, strict: bool = False, min_len
     places = places.withColumn("piece", F.substring("name", at + 1, wide))
     # A piece shorter than the part is what the part may be left with; of the others, one letter less.
     left = F.when(F.col("more") < 0, F.array("piece")).when(F.length("piece") >= 1, _shorter(F.col("piece")))
-    probes = probes.unionByName(places.select("novel", F.col("name").alias("long"), "l", "d", "i", F.explode(left).alias("seg")).distinct())
+    probes = probes.unionByName(places.select("novel", F.col("name").alias("long"), "l", "d", "i", F.explode(left).alias("seg")))
 
     distance = F.levenshtein("short", "long") / F.length("long")
     near = distance < threshold if strict else distance <= threshold

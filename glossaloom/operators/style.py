@@ -87,8 +87,8 @@ def style_bank(chapters: DataFrame, per_chapter: int = 2, max_chars: int = 350,
 
 
 def style_tokens(text: Column) -> Column:
-    stops = X.words_lit(STYLE_STOPWORDS)
-    return F.array_distinct(F.filter(X.content_tokens(text), lambda t: (F.length(t) > 2) & ~F.array_contains(stops, t)))
+    # Leaving out stop words leaves each token once.
+    return F.array_except(X.content_tokens(text, 3), X.words_lit(STYLE_STOPWORDS))
 
 
 def classify_scene(text: Column) -> Column:
@@ -137,8 +137,9 @@ def top_k(
     ``queries`` has ``by, query_id, features``, ``bank`` the same with ``item_id``; features are distinct
     tokens (``jaccard``) or vectors (``cosine``), ``bonus`` names a bank column added to the score.  Ties go
     to the smaller ``item_id``.  ``earlier`` names a bank number that must be below a query number (bank column,
-    query column).  Tokens meet in postings, see ``_by_postings``; vectors in blocks of about ``block`` rows of both sides,
-    each pair of which is a task that keeps k rows a query.  No pair list exists and nothing passes through the driver.
+    query column).  Vectors, and tokens of banks of at most ``block`` rows a group, meet in blocks of about ``block`` rows of
+    both sides, each pair of which is a task that keeps k rows a query; tokens of larger banks meet in postings, see
+    ``_by_postings``.  No pair list exists and nothing passes through the driver.
     """
     by = by or []
     number = F.col(earlier[0]) if earlier else F.lit(0)
@@ -146,7 +147,9 @@ def top_k(
     extra = F.col(bonus) if bonus else F.lit(0.0)
     bank = cut(bank.select(*by, "item_id", "features", extra.cast("double").alias("bonus"), number.cast("double").alias("number")).where("features is not null"))
     asked = cut(queries.select(*by, "query_id", "features", below.cast("double").alias("below")).where("features is not null"))
-    scored = _by_postings(asked, bank, k, by) if method == "jaccard" else _by_blocks(asked, bank, k, by, block)
+    blocks = lambda df: max(1, -(-(df.groupBy(*by).count().agg(F.max("count")).head()[0] or 0) // block))
+    n_bank = blocks(bank)
+    scored = _by_postings(asked, bank, k, by) if method == "jaccard" and n_bank > 1 else _by_blocks(asked, bank, k, by, method, n_bank, blocks(asked))
     return first_rows(scored, [*by, "query_id"], [F.col("score").desc(), F.col("item_id")], k, "rank")
 
 
@@ -186,9 +189,12 @@ def _by_postings(asked: DataFrame, bank: DataFrame, k: int, by: list[str]) -> Da
     score = lambda shared: shared / (F.col("asking") + F.col("held") - shared) + F.col("bonus")
     most = F.least(F.col("shared") + F.col("needed") - 1, F.col("held"), F.col("asking"))
     left = cut(counted.where(F.col("least").isNull() | (score(most) >= F.col("least") - 1e-9)))
-    common = F.slice(F.col("found.t"), F.size("found") - F.col("needed") + 2, F.col("needed") - 1)
-    more = left.where("needed > 1").join(terms.select(*key, "found"), key).join(bank.select(*by, "item_id", "features"), [*by, "item_id"])
-    more = more.withColumn("shared", F.col("shared") + F.size(F.array_intersect(common, "features"))).select(*left.columns)
+    # The last tokens of a query are few; they are cut out once for each number of them, not once for each candidate.
+    some = left.where("needed > 1")
+    last = some.select(*key, "needed").distinct().join(terms.select(*key, F.col("found.t").alias("t")), key)
+    last = last.select(*key, "needed", F.slice("t", F.size("t") - F.col("needed") + 2, F.col("needed") - 1).alias("common"))
+    more = some.join(last, [*key, "needed"]).join(bank.select(*by, "item_id", "features"), [*by, "item_id"])
+    more = more.withColumn("shared", F.col("shared") + F.size(F.array_intersect("common", "features"))).select(*left.columns)
     reached = left.where("needed <= 1").unionByName(more).select(*key, "item_id", score(F.col("shared")).alias("score"))
     return reached.unionByName(fillers.join(reached.select(*key, "item_id"), [*key, "item_id"], "left_anti"))
 
@@ -224,10 +230,8 @@ def _fillers(bank: DataFrame, k: int, by: list[str]) -> DataFrame:
     return some.groupBy(*(by or [F.lit("all")])).applyInPandas(best_so_far, schema)
 
 
-def _by_blocks(asked: DataFrame, bank: DataFrame, k: int, by: list[str], block: int) -> DataFrame:
+def _by_blocks(asked: DataFrame, bank: DataFrame, k: int, by: list[str], method: str, n_bank: int, n_asked: int) -> DataFrame:
     """``by, query_id, item_id, score``: both sides dealt by hash into blocks; k rows a query and pair of blocks."""
-    blocks = lambda df: max(1, -(-(df.groupBy(*by).count().agg(F.max("count")).head()[0] or 0) // block))
-    n_bank, n_asked = blocks(bank), blocks(asked)
     deal = lambda df, key, own, n, other, m: df.withColumn(own, F.pmod(F.xxhash64(key), F.lit(n))).withColumn(
         other, F.explode(F.sequence(F.lit(0), F.lit(m - 1)))
     )
@@ -238,34 +242,76 @@ def _by_blocks(asked: DataFrame, bank: DataFrame, k: int, by: list[str], block:
         [asked.schema[c] for c in by]
         + [asked.schema["query_id"], T.StructField("item_id", bank.schema["item_id"].dataType), T.StructField("score", T.DoubleType())]
     )
-    return left.groupBy(*cell).cogroup(right.groupBy(*cell)).applyInPandas(_cell_scorer(by, k), schema)
+    return left.groupBy(*cell).cogroup(right.groupBy(*cell)).applyInPandas(_cell_scorer(by, k, method), schema)
+
 
+#: Pairs of query and item that are scored at once, and postings that are gone through at once.
+SCORED_AT_ONCE, POSTINGS_AT_ONCE = 1 << 20, 1 << 22
 
-def _cosines(queries: pd.Series, items: pd.Series) -> Iterator[np.ndarray]:
-    """For each query vector its cosine with all items."""
+
+def _cosines(items: pd.Series) -> Callable[[pd.Series], np.ndarray]:
+    """The cosines of query vectors with all items."""
     matrix = np.array(items.to_list(), dtype=np.float64)
     norms = np.sqrt((matrix * matrix).sum(axis=1))
-    for features in queries:
-        q = np.asarray(features, dtype=np.float64)
-        dots, scale = matrix @ q, norms * np.sqrt((q * q).sum())
-        yield np.divide(dots, scale, out=np.zeros_like(dots), where=scale > 0)
+
+    def score(queries: pd.Series) -> np.ndarray:
+        q = np.array(queries.to_list(), dtype=np.float64)
+        scale = np.sqrt((q * q).sum(axis=1))[:, None] * norms
+        # One product a query: its sums do not depend on which queries are scored with it.
+        dots = np.array([matrix @ row for row in q])
+        return np.divide(dots, scale, out=np.zeros_like(dots), where=scale > 0)
+
+    return score
+
+
+def _jaccards(items: pd.Series) -> Callable[[pd.Series], np.ndarray]:
+    """The Jaccard similarities of queries with all items, from postings of the items' tokens."""
+    n, sizes = len(items), items.map(len).to_numpy(np.int64)
+    codes, known = pd.factorize(np.concatenate([np.asarray(t, object) for t in items]))
+    holders = np.repeat(np.arange(n), sizes)[np.argsort(codes, kind="stable")]
+    lengths = np.bincount(codes, minlength=len(known))
+    starts, index = np.cumsum(lengths) - lengths, pd.Index(known)
+
+    def score(queries: pd.Series) -> np.ndarray:
+        asking = queries.map(len).to_numpy(np.int64)
+        places = index.get_indexer(np.concatenate([np.asarray(t, object) for t in queries])) if asking.sum() else np.zeros(0, np.int64)
+        rows, places = np.repeat(np.arange(len(asking)), asking)[places >= 0], places[places >= 0]
+        shared = np.zeros(len(asking) * n)
+        parts = np.cumsum(lengths[places]) // POSTINGS_AT_ONCE
+        for part in np.unique(parts):
+            own = slice(*np.searchsorted(parts, [part, part + 1]))
+            each = lengths[places[own]]
+            within = np.arange(each.sum()) - np.repeat(np.cumsum(each) - each, each)
+            met = holders[np.repeat(starts[places[own]], each) + within]
+            shared += np.bincount(np.repeat(rows[own], each) * n + met, minlength=len(shared))
+        shared = shared.reshape(len(asking), n)
+        union = asking[:, None] + sizes - shared
+        return np.divide(shared, union, out=np.zeros_like(shared), where=union > 0)
+
+    return score
 
 
-def _cell_scorer(by: list[str], k: int) -> Callable[[pd.DataFrame, pd.DataFrame], pd.DataFrame]:
+def _cell_scorer(by: list[str], k: int, method: str) -> Callable[[pd.DataFrame, pd.DataFrame], pd.DataFrame]:
     """Scores the queries of one block against the items of one block."""
 
     def score(asked: pd.DataFrame, bank: pd.DataFrame) -> pd.DataFrame:
         columns, found = [*by, "query_id", "item_id", "score"], []
-        bank = bank[bank["features"].notna()].sort_values("item_id", kind="stable")
+        bank = bank.sort_values("item_id", kind="stable")
         if bank.empty or asked.empty:
-            return pd.DataFrame(found, columns=columns)
+            return pd.DataFrame(columns=columns)
         ids, bonus, numbers = bank["item_id"].to_numpy(), bank["bonus"].to_numpy(), bank["number"].to_numpy()
-        for row, values in zip(asked.to_dict("records"), _cosines(asked["features"], bank["features"])):
-            open_items = numbers < row["below"]
+        similar = (_jaccards if method == "jaccard" else _cosines)(bank["features"])
+        step = max(1, SCORED_AT_ONCE // len(bank))
+        for at in range(0, len(asked), step):
+            rows = asked.iloc[at : at + step]
+            closed = numbers >= rows["below"].to_numpy()[:, None]
+            values = np.where(closed, -np.inf, similar(rows["features"]) + bonus)
             # items lie in id order, so a stable sort keeps ties in it
-            best = np.argsort(-np.where(open_items, values + bonus, -np.inf), kind="stable")[: min(k, int(open_items.sum()))]
-            found += [(*(row[c] for c in by), row["query_id"], ids[j], float(values[j] + bonus[j])) for j in best]
-        return pd.DataFrame(found, columns=columns)
+            best = np.argsort(-values, axis=1, kind="stable")[:, :k]
+            row, place = np.nonzero(np.take_along_axis(values, best, axis=1) > -np.inf)
+            item = best[row, place]
+            found.append(rows.iloc[row][[*by, "query_id"]].assign(item_id=ids[item], score=values[row, item]))
+        return pd.concat(found)[columns]
 
     return score
 
