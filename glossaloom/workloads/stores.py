@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from glossaloom.lexicon import NAME_STOPWORDS
 from glossaloom.operators import glossary as G
 from glossaloom.operators import lore as L
 from glossaloom.operators import verdicts as V
@@ -166,7 +167,49 @@ frm as (select distinct novel, policy_id, unnest([trigger, split_part(trigger, '
 ver as (select 'd_' || doc_id as policy_id, case when toxic = 1 then 'DROP' when quality = 0 then 'RETYPE' else 'KEEP' end as verdict, source from labels join documents using (doc_id))
 """
 
+_STOPS = "[" + ", ".join(f"'{w}'" for w in NAME_STOPWORDS) + "]"
+# Letters that stay outside ASCII when accents go, one character each, as the distance counts bytes.
+_PLAIN = "translate({}, 'ßœæøđł', '#$%&@~')"
+_WHY = """case
+  when {a}.words = {b}.words then 'same words in another order'
+  when {a}.core = {b}.core then 'same core name under another title'
+  when least(length({a}.key), length({b}.key)) >= 4 and (contains({a}.key, {b}.key) or contains({b}.key, {a}.key)) then
+    case when len(list_filter(case when length({a}.key) <= length({b}.key) then {a}.words else {b}.words end, lambda w: not list_contains(STOPS, w))) > 0
+      then 'one name holds the other (' || {a}.canonical || ' / ' || {b}.canonical || ')' end
+  when len(list_filter(list_intersect({a}.core, {b}.core), lambda w: length(w) >= 4)) > 0
+    then 'shared core words (' || array_to_string(list_sort(list_intersect({a}.core, {b}.core)), ', ') || ')'
+  when least(length({a}.key), length({b}.key)) >= 4 and levenshtein({a}.plain, {b}.plain) / greatest(length({a}.key), length({b}.key)) <= 0.3
+    then 'nearly the same spelling' end""".replace("STOPS", _STOPS)
+
+# One entry after another in the order of names, each led by the first leader that it resembles.
+_DUPLICATES = _P.replace("with named", "with recursive named", 1) + rf""", keyed as (
+  select lang as novel, doc_id as entry_id, name as canonical,
+    regexp_replace(regexp_replace(trim(lower(strip_accents(name))), '[-\s]+', ' ', 'g'), '''s\b', '', 'g') as key from named),
+worded as (
+  select *, {_PLAIN.format("key")} as plain, list_sort(list_distinct(list_filter(string_split(key, ' '), lambda w: w <> ''))) as words from keyed),
+cored as (select *, list_filter(words, lambda w: length(w) >= 2 and not list_contains({_STOPS}, w)) as core_words from worded),
+entries as (
+  select novel, entry_id, canonical, key, plain, words, case when len(core_words) > 0 then core_words else words end as core,
+    row_number() over (partition by novel order by canonical, entry_id) as k from cored),
+like_before as (
+  select b.novel, b.k, list(a.k) as below from entries a join entries b on a.novel = b.novel and a.k < b.k
+  where len(a.words) > 0 and len(b.words) > 0 and ({_WHY.format(a="a", b="b")}) is not null group by b.novel, b.k),
+ordered as (select e.novel, e.k, coalesce(below, []) as below from entries e left join like_before using (novel, k)),
+scan(novel, k, leader, leaders) as (
+  select novel, k, k, [k] from ordered where k = 1
+  union all
+  select novel, k, coalesce(taken, k), case when taken is null then list_append(leaders, k) else leaders end
+  from (select o.novel, o.k, s.leaders, list_min(list_intersect(o.below, s.leaders)) as taken from scan s join ordered o on o.novel = s.novel and o.k = s.k + 1)),
+led as (
+  select e.*, s.leader, case when e.k <> s.leader then {_WHY.format(a="h", b="e")} end as why
+  from scan s join entries e using (novel, k) join entries h on h.novel = s.novel and h.k = s.leader),
+clusters as (
+  select novel, leader, arg_min({{'entry_id': entry_id, 'canonical': canonical}}, {{'n': length(canonical), 'k': k}}) as t, count(*) as size,
+    array_to_string(list_sort(list_distinct(list(why) filter (why is not null))), '; ') as reason from led group by all)
+select novel, entry_id, canonical, t.entry_id as target_id, t.canonical as target, reason from led join clusters using (novel, leader) where size > 1"""
+
 SQL = {
+    "duplicate_entries": _DUPLICATES,
     "policy_lookup": _P + r""", q as (select distinct regexp_extract(text, '^[^\p{L}\p{N}_]*([\p{L}\p{N}_]+)', 1) as query from benchmark),
 idx as (select distinct policy_id, lower(form) as k from frm where novel = 'en')
 select query, policy_id, trigger from q join idx on idx.k = lower(query) join pol using (policy_id)""",
