@@ -79,10 +79,12 @@ def known_phrases(spark, sf):
 
 
 def corrected_phrases(spark, sf):
-    rules = table(spark, sf, "benchmark").select(
-        F.col("item_id").cast("string").alias("id"), F.col("text").alias("mtl_phrase"),
-        F.lit("<fixed>").alias("correct_translation"), F.lit(None).cast("boolean").alias("auto_apply"),
+    """Benchmark passages as error phrases; what they are corrected to is an error phrase itself."""
+    passages = table(spark, sf, "benchmark").select(
+        F.col("item_id").cast("string").alias("id"), F.col("text").alias("mtl_phrase"), F.lit("fixed passage").alias("correct_translation")
     ).where("mtl_phrase <> ''")
+    second = passages.select(F.lit("again").alias("id"), F.lit("fixed passage").alias("mtl_phrase"), F.lit("mended text").alias("correct_translation")).distinct()
+    rules = passages.unionByName(second).withColumn("auto_apply", F.lit(None).cast("boolean"))
     guard = chapters(spark, sf).select("novel").distinct().withColumn("form", F.lit("of the"))
     out = S.apply_known_errors(chapters(spark, sf), rules, guard)
     return out.where("size(fixes) > 0").select("novel", "chapter", F.size("fixes").alias("n_fixes"), F.md5("fixed_text").alias("text_md5"))
@@ -177,7 +179,22 @@ _CLEANED = f"regexp_replace(regexp_replace({_CLEAN}, '{S.WATERMARK.replace('(?iU
 _SPACE = r"[\s\x{a0}\x{2000}-\x{200a}\x{202f}\x{3000}]"
 _PARA = "list_filter(list_transform(regexp_split_to_array({c}, '\\n+'), lambda p: trim(p, e' \\t\\n\\r')), lambda p: p <> '')"
 
+# Rules one after another; a passage that stands twice in a row shares the blank between, so each rule is tried twice.
+_OUTSIDE = "[^\\p{L}\\p{N}_]"
+_ONE_RULE = f"regexp_replace(TEXT, '(^|{_OUTSIDE})(?:' || regexp_escape(x) || ')($|{_OUTSIDE})', '\\1fixed passage\\2', 'gi')"
+_SECOND = f"'(^|{_OUTSIDE})(?i:fixed passage)($|{_OUTSIDE})'"
+_CORRECTED = f"""with rules as (
+  select list(text order by -length(text), text) as phrases from (select distinct text from benchmark where text <> '')),
+one as (
+  select lang as novel, doc_id + 1 as chapter, text as before, list_reduce(list_prepend(text, phrases), lambda t, x: case when contains(lower(t), lower(x)) then {_ONE_RULE.replace("TEXT", _ONE_RULE.replace("TEXT", "t"))} else t end) as text
+  from documents, rules),
+two as (
+  select *, len(regexp_extract_all(text, {_SECOND})) as k, len(regexp_extract_all(before, {_SECOND})) as k0,
+    regexp_replace(text, {_SECOND}, '\\1mended text\\2', 'g') as fixed from one)
+select novel, chapter, (2 * k - k0)::int as n_fixes, md5(fixed) as text_md5 from two where 2 * k - k0 > 0"""
+
 SQL = {
+    "corrected_phrases": _CORRECTED,
     "retrieved_policies": _FOUND + " select novel, chapter, policy_id from found",
     "retrieved_top_policies": _FOUND + """ select novel, chapter, policy_id from (select *, row_number() over (partition by novel, chapter order by length(trigger) desc, rank) as k from found) where k <= 2""",
     "prompted_policies": _FOUND + " select novel, chapter, trigger from found where applies = 'prompted'",

@@ -112,6 +112,51 @@ def test_known_errors_respect_protected_terms(spark):
     assert {(r.chapter, r.id) for r in seen} == {(1, "r1"), (1, "r2"), (1, "r3"), (3, "r2"), (3, "r4")}
 
 
+def corrected(text, rules, guards):
+    """Rules one after another on the text, whole words only, outside guards."""
+
+    def standing(low, phrase):
+        inside = lambda i: 0 <= i < len(low) and (low[i].isalnum() or low[i] == "_")
+        at = low.find(phrase)
+        while at >= 0:
+            alone = not inside(at - 1) and not inside(at + len(phrase))
+            if alone:
+                yield at
+            at = low.find(phrase, at + (len(phrase) if alone else 1))
+
+    changes = []
+    for phrase, output, rule in rules:
+        low = text.lower()
+        shield = {i for g in guards for at in range(len(low)) for x in [g.lower()] if low.startswith(x, at) and at in set(alone_at(low, x)) for i in range(at, at + len(x))}
+        free = [at for at in standing(low, phrase.lower()) if not shield & set(range(at, at + len(phrase)))]
+        changes += [(text[at : at + len(phrase)], output, rule, at, at + len(phrase)) for at in free]
+        ends = [0, *(at + len(phrase) for at in free)]
+        text = output.join(text[x:y] for x, y in zip(ends, [*free, len(text)])) if free else text
+    return text, changes
+
+
+def alone_at(low, form):
+    word = lambda i: 0 <= i < len(low) and (low[i].isalnum() or low[i] == "_")
+    return [at for at in range(len(low)) if low.startswith(form, at) and not word(at - 1) and not word(at + len(form))]
+
+
+def test_rules_by_rounds_equal_rules_one_by_one(spark):
+    rng = random.Random(8)
+    some = lambda words, n: " ".join(rng.choice(words) for _ in range(n))
+    words = ["a", "b", "B", "c", "d", "e", "-", "a-b", "_x", "é"]
+    texts = chapters(spark, [some(words, rng.randint(0, 25)) for _ in range(40)])
+    rules = {(some(words, rng.randint(1, 3)), rng.choice([some(words, rng.randint(1, 2)), "-", " d", "b e", "zz"])) for _ in range(3)} | {("a a", "b"), ("zz", "c d")}
+    rows = [(f"r{i}", p, o, rng.choice([True, None])) for i, (p, o) in enumerate(sorted(rules))] + [("no", "c", "x", False)]
+    guards = ["d e", "B c", "zz c"]
+    frame = spark.createDataFrame(rows, "id string, mtl_phrase string, correct_translation string, auto_apply boolean")
+    out = S.apply_known_errors(texts, frame, spark.createDataFrame([("n", g) for g in guards] + [("m", "a")], "novel string, form string")).collect()
+    ordered = sorted(((p, o, i) for i, p, o, auto in rows if auto is not False), key=lambda r: (-len(r[0]), r[0], r[1], r[2]))
+    assert len(out) == 40
+    for r in out:
+        text, changes = corrected(r.text, ordered, guards)
+        assert (r.fixed_text, [tuple(f) for f in r.fixes or []]) == (text, changes)
+
+
 def test_contains_join_equals_brute_force(spark):
     rng = random.Random(2)
     word = lambda n: "".join(rng.choice("abAB É") for _ in range(n))
