@@ -115,7 +115,8 @@ def _differing(a: str, b: str, components: int) -> Column:
 
 
 def sketch(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", bands: int = BANDS, rows: int = ROWS) -> DataFrame:
-    """(id, key, size, bands, short): hash of the words, number of shingles, band keys, short signature; nulls without words."""
+    """(id, digest, key, size, bands, short): hash of the text, hash of its words, number of shingles, band keys, short
+    signature; the last two and the hash of the words are null for texts without words."""
 
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "text"):
@@ -125,14 +126,22 @@ def sketch(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", band
             made = [signature(b, bands * rows) if len(b) else None for b in bags]
             told = [pa.array([None if m is None else f(m) for m in made], pa.list_(pa.int64())) for f in (lambda m: band_keys(m, bands), short_signature)]
             columns = [pa.array(keys, pa.binary()), pa.array([len(b) for b in bags], pa.int64()), *told]
-            yield pa.RecordBatch.from_arrays([batch.column("id"), *columns], names=["id", "key", "size", "bands", "short"])
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("id"), batch.column("digest"), *columns], names=["id", "digest", "key", "size", "bands", "short"]
+            )
 
-    named = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    return named.mapInArrow(apply, f"id {named.schema['id'].dataType.simpleString()}, key binary, size long, bands array<long>, short array<long>")
+    named = _texts(docs, id_col, text_col)
+    kind = named.schema["id"].dataType.simpleString()
+    return named.mapInArrow(apply, f"id {kind}, digest long, key binary, size long, bands array<long>, short array<long>")
+
+
+def _texts(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """(id, digest, text): ids may be null or repeated, so a row is found again by its id and a hash of its text."""
+    return docs.select(F.col(id_col).alias("id"), F.xxhash64(F.col(text_col)).alias("digest"), F.col(text_col).alias("text"))
 
 
 def _bags(docs: DataFrame, wanted: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(node, bag): shingles of the wanted texts (id, node, key), copies numbered."""
+    """(node, bag): shingles of the wanted texts (id, digest, node, key), copies numbered."""
 
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "text"):
@@ -141,7 +150,9 @@ def _bags(docs: DataFrame, wanted: DataFrame, id_col: str, text_col: str) -> Dat
             bags = [numbered_copies(shingled(h)).view(np.int64) if ok else None for ok, h in zip(same, word_hashes(words))]
             yield pa.RecordBatch.from_arrays([batch.column("node"), pa.array(bags, pa.list_(pa.int64()))], names=["node", "bag"])
 
-    texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(wanted, "id").select("node", "key", "text")
+    named = wanted.select(F.col("id").alias("wanted_id"), F.col("digest").alias("wanted_digest"), "node", "key")
+    same = F.col("id").eqNullSafe(F.col("wanted_id")) & (F.col("digest") == F.col("wanted_digest"))
+    texts = _texts(docs, id_col, text_col).join(named, same).select("node", "key", "text")
     return texts.mapInArrow(apply, "node long, bag array<long>").where("bag is not null").dropDuplicates(["node"])
 
 
@@ -162,8 +173,10 @@ def near_duplicates(
     Classes are the connected components of the links between texts of similarity ``similarity`` or more; at that similarity
     a link escapes the bands with a probability of (1 - s^rows)^bands, under 1 in 100,000 by default.  Texts equal in all
     words (ASCII case and white space apart) are one node throughout.  Texts of under five words are one shingle; null texts
-    and texts without words are classes of their own.  ``kept`` marks the row with the least id of its class; of rows with
-    that id and the same words each is marked.  Extra columns are ignored.
+    and texts without words are classes of their own (rows of one such id share its class), all kept.  A class in which every
+    id is null has a null name.  ``kept`` marks the row with the least id of its class, a null id coming last; of several texts
+    with that id, the one with the least hash of its words; repeated rows of that text are each marked.  Extra columns are
+    ignored; an empty table gives no rows.
 
     The texts are read twice: for the sketches, and for the bags of texts that share a bucket with another text.
     """
@@ -172,15 +185,15 @@ def near_duplicates(
     firsts = worded.groupBy("key").agg(F.min("id").alias("least"))
     nodes = written(
         worded.join(firsts.withColumnRenamed("key", "k"), F.col("key").eqNullSafe(F.col("k")) & F.col("id").eqNullSafe(F.col("least")))
-        .dropDuplicates(["key"]).select(F.monotonically_increasing_id().alias("node"), "key", "id", "size", "bands", "short"), "nodes",
+        .dropDuplicates(["key"]).select(F.monotonically_increasing_id().alias("node"), "key", "id", "digest", "size", "bands", "short"), "nodes",
     )
     slots = nodes.select("node", F.explode("bands").alias("bucket"))
     shared = slots.groupBy("bucket").agg(F.count("*").alias("members")).where("members > 1")
     slots = written(slots.join(shared, "bucket"), "members")
     # texts in many full buckets lie in the middle of their group and lead
     weight = slots.groupBy("node").agg(F.sum("members").alias("weight"))
-    near_nodes = written(nodes.join(weight, "node").select("node", "id", "key", "size", "short", "weight"), "near")
-    bags = written(_bags(docs, near_nodes.select("id", "node", "key"), id_col, text_col), "bags")
+    near_nodes = written(nodes.join(weight, "node").select("node", "id", "digest", "key", "size", "short", "weight"), "near")
+    bags = written(_bags(docs, near_nodes.select("id", "digest", "node", "key"), id_col, text_col), "bags")
     members = slots.select("bucket", "node").join(near_nodes.select("node", "size", "weight"), "node")
     leaders = members.groupBy("bucket").agg(F.max_by(F.struct("node", "size"), F.struct("weight", "node")).alias("leader"))
     led = written(members.join(leaders, "bucket").select("bucket", "node", "size", F.col("leader.node").alias("leader"), F.col("leader.size").alias("leader_size")), "led")
@@ -213,8 +226,12 @@ def near_duplicates(
     if not more.isEmpty():
         label = components(links.unionByName(more), near_nodes.select("node"))
     placed = near_nodes.join(label, "node")
-    least = placed.groupBy("component").agg(F.min("id").alias("class_id"))
-    linked = placed.join(least, "component").select("key", "class_id")
-    named = nodes.join(near_nodes.select("node"), "node", "left_anti").select("key", F.col("id").alias("class_id")).unionByName(linked)
-    out = sketches.select("id", "key", "size").join(named, "key", "left").withColumn("class_id", F.when(F.col("key").isNull(), F.col("id")).otherwise(F.col("class_id")))
-    return out.select(F.col("id").alias(id_col), "class_id", F.col("size").alias("n_shingles"), F.col("id").eqNullSafe(F.col("class_id")).alias("kept"))
+    first = F.min(F.struct(F.col("id").isNull().alias("unnamed"), "id", "key")).alias("first")
+    least = placed.groupBy("component").agg(first)
+    linked = placed.join(least, "component").select("key", F.col("first.id").alias("class_id"), F.col("first.key").alias("first_key"))
+    alone = nodes.join(near_nodes.select("node"), "node", "left_anti").select("key", F.col("id").alias("class_id"), F.col("key").alias("first_key"))
+    named = alone.unionByName(linked).withColumnRenamed("key", "named_key")
+    out = sketches.select("id", "key", "size").join(named, F.col("key") == F.col("named_key"), "left")
+    out = out.withColumn("class_id", F.when(F.col("key").isNull(), F.col("id")).otherwise(F.col("class_id")))
+    kept = F.col("id").eqNullSafe(F.col("class_id")) & F.col("key").eqNullSafe(F.col("first_key"))
+    return out.select(F.col("id").alias(id_col), "class_id", F.col("size").alias("n_shingles"), kept.alias("kept"))

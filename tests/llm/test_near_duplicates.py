@@ -123,3 +123,24 @@ def test_repeated_null_and_no_rows(spark):
     got = sorted(map(tuple, bagminhash.near_duplicates(docs).select("doc_id", "class_id").collect()), key=repr)
     assert got == sorted([(1, 1), (1, 1), (None, 2), (2, 2), (3, 3)], key=repr)
     assert bagminhash.near_duplicates(docs.limit(0)).count() == 0
+
+
+def test_null_and_repeated_ids_keep_their_links(spark):
+    text = " ".join(f"w{i}" for i in range(90))
+    rows = [(None, text), (None, text + " more"), (5, text + " more still"), (None, "other " * 3), (7, "p q"), (7, "r s"), (7, "r s"), (8, "r S")]
+    # one id for texts that are near copies and for one that is not
+    rows += [(9, "x " + text[:200] + " y"), (9, "x " + text[:200] + " z"), (9, "alone")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = sorted(map(tuple, bagminhash.near_duplicates(docs).select("doc_id", "class_id", "kept").collect()), key=repr)
+    assert got == sorted([(None, 5, False), (None, 5, False), (5, 5, True), (None, None, True), (7, 7, True), (7, 7, True), (7, 7, True), (8, 7, False), (9, 9, True), (9, 9, False), (9, 9, True)], key=repr)
+    unnamed = docs.where("doc_id is null")
+    kept = [r.kept for r in bagminhash.near_duplicates(unnamed).collect()]
+    assert sorted(kept) == [False, True, True]
+
+
+def test_near_copies_of_very_long_texts(spark):
+    words = [f"w{i % 7001}x{i % 13}" for i in range(20_000)]
+    rows = [(1, " ".join(words)), (2, " ".join(words[:19_000] + ["new"] * 800)), (3, " ".join(words[:9_000]))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r.doc_id: r.class_id for r in bagminhash.near_duplicates(docs).collect()}
+    assert got == brute_classes(rows) == {1: 1, 2: 1, 3: 3}

@@ -83,3 +83,17 @@ def test_query_runs_the_stages(spark):
     made = queries()["pipeline"](spark, sf)
     assert made.columns == ["doc_id", "n_tokens", "ids", "decoded_sha256"]
     assert 0 < made.count() < spark.read.parquet(f"{sf}/documents.parquet").count()
+
+
+def test_stages_take_odd_columns_and_empty_tables(spark, tmp_path):
+    folder = f"file://{tmp_path}"
+    planted(spark, folder)
+    docs = spark.read.parquet(f"{folder}/documents.parquet").selectExpr("*", "doc_id AS `a.b`", "1 AS id", "2 AS score", "3 AS `tick``s`")
+    for name, stage in corpus_pipeline.STAGES[:4]:
+        made = stage(spark, docs, folder)
+        assert made.columns == docs.columns, name
+        rows = made.select("doc_id", "`a.b`", "score").collect()
+        assert rows and all(r[0] == r[1] and r[2] == 2 for r in rows), name
+    empty = spark.createDataFrame([], COLUMNS)
+    for name, stage in corpus_pipeline.STAGES:
+        assert stage(spark, empty, folder).count() == 0, name
