@@ -1,13 +1,13 @@
 """A corpus pipeline: stages over documents, each written as Parquet and read again by the next.
 
-Every stage but the last returns the columns of documents.  A decision is taken on the whole row, so repeated rows and null
-ids are filtered like any other.
+Every stage but the last returns the columns of documents, whatever they are named.  A decision is taken on the whole row, so
+repeated rows and null ids are filtered like any other; an empty table passes every stage.
 """
 
 from __future__ import annotations
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from glossaloom.llm import bagminhash, decontaminate, langid, pieces, rules
@@ -22,27 +22,38 @@ ORACLE_SQL: str | None = None
 
 
 def _whole_rows(docs: DataFrame) -> DataFrame:
-    return docs.select(F.struct(*docs.columns).alias("row"), "text")
+    return docs.select(F.struct(*(_named(c) for c in docs.columns)).alias("row"), "text")
+
+
+def _named(column: str) -> Column:
+    """A column by its name, which may hold dots."""
+    return F.col("`" + column.replace("`", "``") + "`")
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Rejects texts without a letter and texts that no language claims; learns as the language query does."""
+    """Rejects texts without a letter (null and empty ones too) and texts that no language claims.
+
+    Learns as the language query does; equal texts get equal verdicts."""
     model = langid.fit(docs.where(hash_class("doc_id", 5) != 0))
     judged = langid.identify(_whole_rows(docs), model, "row")
     return judged.where((F.col("lang_pred") != langid.UNDETERMINED) & (F.col("score") > LANGUAGE_BORDER)).select("row.*")
 
 
 def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Rejects texts that the rule ensemble, learnt from the labels of present documents, scores under 0.7."""
+    """Rejects texts that the rule ensemble, learnt from the labels of present documents, scores under 0.7.
+
+    Null texts are scored as empty ones; equal texts get equal verdicts."""
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
     model = rules.fit(docs, labels.where(hash_class("doc_id", 4) != 2))
     return rules.judge(_whole_rows(docs), model, "row").where("predicted = 1").select("row.*")
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Leaves the row with the least id of each class of near duplicates."""
-    number = "_".join(["row_number", *docs.columns])  # no column of docs has this name
-    rows = docs.withColumn(number, F.monotonically_increasing_id())
+    """Leaves one row of each class of near duplicates: that with the least id, of several with that id the first read.
+
+    Null texts and texts without words all stay.  Rows are numbered in a written table, so that every scan sees one number."""
+    number = "n" * (1 + max(map(len, docs.columns)))  # longer than any name of docs
+    rows = written(docs.withColumn(number, F.monotonically_increasing_id()), "numbered")
     named = rows.select(F.struct("doc_id", F.col(number).alias("row_number")).alias("id"), "text")
     judged = bagminhash.near_duplicates(named, "id")
     gone = judged.where("not kept").select(F.col("id.row_number").alias(number))
@@ -50,7 +61,7 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Rejects documents that hold a benchmark item."""
+    """Rejects documents that hold a benchmark item; null and empty texts hold none."""
     benchmark = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
     return decontaminate.flag_leaks(_whole_rows(docs), benchmark, "row").where("not leaked").select("row.*")
 
