@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Sequence
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from glossaloom.functions import text as X
+from glossaloom.operators.modelcalls import call_model, unfence
 from glossaloom.operators.retrieval import contains_join
 from glossaloom.operators.style import METRICS, stylometry, stylometry_delta, voice_richness
 from glossaloom.plans.lineage import cut
@@ -222,3 +225,15 @@ JUDGEMENT = "faithfulness INT, fluency INT, notes STRING"
 def parse_judgement(reply: Column) -> Column:
     """``struct<faithfulness, fluency, notes>``; null fields when the reply is no such JSON."""
     return F.from_json(reply, JUDGEMENT)
+
+
+def judge_chapters(pairs: DataFrame, model_fn: Callable[[list[str]], Sequence[str]]) -> DataFrame:
+    """``pairs`` with the scores ``faithfulness``, ``fluency`` and ``notes`` of columns ``generated`` and ``source``, and ``error``.
+
+    ``error`` says why a pair has no scores: the call failed, or the reply was no such JSON.
+    """
+    prompt = judge_prompt(F.coalesce("generated", F.lit("")), F.coalesce("source", F.lit("")))
+    said = call_model(pairs.withColumn("_prompt", prompt), "_prompt", model_fn)
+    said = said.withColumn("_said", parse_judgement(unfence(F.col("reply"))))
+    error = F.coalesce("error", F.when(F.col("_said.faithfulness").isNull() | F.col("_said.fluency").isNull(), F.lit("no scores in the reply")))
+    return said.select(*pairs.columns, "_said.*", error.alias("error"))

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from bisect import insort
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pandas as pd
@@ -13,7 +13,7 @@ from pyspark.sql import types as T
 
 from glossaloom.functions import text as X
 from glossaloom.lexicon import STYLE_STOPWORDS
-from glossaloom.operators.modelcalls import apply_rowwise
+from glossaloom.operators.modelcalls import apply_rowwise, call_model
 from glossaloom.plans.lineage import cut
 from glossaloom.plans.ordered import first_rows
 
@@ -426,13 +426,18 @@ def voice_richness(prefix: str = "", digits: int = 4) -> Column:
 # --------------------------------------------------------------------------- model-written profiles
 
 
-def profile_prompt(text: Column) -> Column:
+def _head(text: Column, limit: int | None) -> Column:
+    return text if limit is None else F.substring(text, 1, limit)
+
+
+def profile_prompt(text: Column, limit: int | None = 2000) -> Column:
+    """Asks for the style of a text; ``limit``: characters of it that the model sees, None for all."""
     return F.concat(
         F.lit(
             "Describe the style of this translated fiction in three labelled lines.\nREGISTER: point of view, formality, tone\n"
             "NARRATION: sentence rhythm, vocabulary, imagery\nDIALOGUE: register shifts, punctuation, formality\n\nTEXT:\n"
         ),
-        F.substring(text, 1, 2000),
+        _head(text, limit),
     )
 
 
@@ -447,10 +452,11 @@ def parse_profile(reply: Column) -> Column:
     return F.struct(value("register"), value("narration"), value("dialogue"))
 
 
-def tendencies_prompt(mtl: Column, original: Column) -> Column:
+def tendencies_prompt(mtl: Column, original: Column, limit: int | None = 1500) -> Column:
+    """Asks how a translator edited a text; ``limit``: characters of each side that the model sees, None for all."""
     return F.concat(
         F.lit("List how the human translation (B) edits the machine translation (A), one 'LABEL: description' per line.\n(A)\n"),
-        F.substring(mtl, 1, 1500), F.lit("\n(B)\n"), F.substring(original, 1, 1500),
+        _head(mtl, limit), F.lit("\n(B)\n"), _head(original, limit),
     )
 
 
@@ -494,6 +500,20 @@ def profile_lines(profile: Column, tendencies: Column, quotes: Column, metrics:
     )
 
 
-def ablation_table(scores: DataFrame) -> DataFrame:
-    """One row per chapter, one column per condition: ``scores(chapter, condition, metric)`` pivoted."""
-    return scores.groupBy("novel", "chapter").pivot("condition", ["A", "B", "C", "D"]).agg(F.avg("metric"))
+def model_profiles(texts: DataFrame, model_fn: Callable[[list[str]], Sequence[str]], limit: int | None = 2000) -> DataFrame:
+    """``texts`` with the model's ``profile`` of column ``text``, its style metrics and the ``error`` of a failed call.
+
+    Empty fields of a profile are empty texts; a failed call has an empty profile.
+    """
+    said = call_model(texts.withColumn("_prompt", profile_prompt(F.coalesce("text", F.lit("")), limit)), "_prompt", model_fn)
+    return stylometry(said.withColumn("profile", parse_profile(F.coalesce("reply", F.lit("")))).drop("_prompt", "reply"))
+
+
+def model_tendencies(pairs: DataFrame, model_fn: Callable[[list[str]], Sequence[str]], limit: int | None = 1500) -> DataFrame:
+    """``pairs`` with the ``tendencies`` that the model finds between columns ``mtl`` and ``original``, and ``error``.
+
+    A failed call has no tendencies.
+    """
+    prompt = tendencies_prompt(F.coalesce("mtl", F.lit("")), F.coalesce("original", F.lit("")), limit)
+    said = call_model(pairs.withColumn("_prompt", prompt), "_prompt", model_fn)
+    return said.withColumn("tendencies", parse_tendencies(F.coalesce("reply", F.lit("")))).drop("_prompt", "reply")
