@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from glossaloom.operators import ablation as B
 from glossaloom.operators import alignment as A
 from glossaloom.operators import chunks as C
 from glossaloom.operators.style import METRICS
@@ -93,11 +94,32 @@ def alignment_tiers(spark, sf):
     return summary.select("tier", "n", "wins", *[F.round(c, 3).alias(c) for c in ("avg_delta", "avg_norm_delta", "avg_name_adherence", "avg_intrusion")])
 
 
+def _conditions(spark, sf):
+    """Two conditions over the turns that have all three texts: A leaves the machine text, B is the assistant's."""
+    generated, original, mtl = _talk(spark, sf)
+    machine = mtl.withColumnRenamed("text", "mtl")
+    runs = generated.withColumnRenamed("text", "said").join(machine, KEYS).select(
+        *KEYS, "mtl", F.explode(F.create_map(F.lit("A"), "mtl", F.lit("B"), "said")).alias("condition", "generated")
+    )
+    return B.ablation_scores(runs, original, _names(spark, sf))
+
+
+def condition_scores(spark, sf):
+    return _conditions(spark, sf).select(
+        "chapter", "condition", "sim_generated_original", "sim_mtl_original", "delta_vs_mtl", "sim_generated_original_norm",
+        "intrusion_score", "drop_score", "coverage",
+    )
+
+
+def condition_table(spark, sf):
+    return B.ablation_table(_conditions(spark, sf), "delta_vs_mtl", ["A", "B"]).select("chapter", F.col("A").alias("gain_a"), F.col("B").alias("gain_b"))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         turn_similarity, paired_similarity, similarity_without_names, stylebank_similarity, chapter_name_adherence,
-        turn_faithfulness, turn_lost_numbers, alignment_report, alignment_tiers,
+        turn_faithfulness, turn_lost_numbers, alignment_report, alignment_tiers, condition_scores, condition_table,
     )
 }
 
@@ -165,7 +187,20 @@ from three join g using (chapter) join m using (chapter) join gn using (chapter)
   join style using (chapter) join adhere using (chapter) join faith using (chapter))
 """
 
+_RUNS = f"""{_THREE}, whole as (select * from three where original is not null and mtl is not null and generated is not null),
+runs as (select chapter * 2 as k, chapter, 'A' as condition, mtl as generated, mtl, original from whole
+  union all select chapter * 2 + 1, chapter, 'B', generated, mtl, original from whole),
+{_cosine('g', 'runs', 'k', 'generated', 'original')}, {_cosine('m', 'runs', 'k', 'mtl', 'original')}"""
+
 SQL = {
+    "condition_scores": f"""with {_NAMES}, {_RUNS}, {_faith('runs', 'k', 'generated', 'original')},
+bare as (select k, {_REMOVED.format(c="generated")} as generated, {_REMOVED.format(c="original")} as original from runs),
+{_cosine('gn', 'bare', 'k', 'generated', 'original')}
+select chapter, condition, g.sim as sim_generated_original, m.sim as sim_mtl_original, {sql_round("g.sim - m.sim", 4)} as delta_vs_mtl,
+  gn.sim as sim_generated_original_norm, intrusion_score, drop_score, coverage
+from runs join g using (k) join m using (k) join gn using (k) join faith using (k)""",
+    "condition_table": f"""with {_RUNS} select chapter, max(case when condition = 'A' then {sql_round("g.sim - m.sim", 4)} end) as gain_a,
+  max(case when condition = 'B' then {sql_round("g.sim - m.sim", 4)} end) as gain_b from runs join g using (k) join m using (k) group by chapter""",
     "turn_similarity": f"with {_TURNS}, {_cosine('c', 'talk', 'chapter', 'generated', 'source')} select conv_id, turn, sim as similarity from talk join c using (chapter)",
     "paired_similarity": f"""with {_THREE}, whole as (select * from three where original is not null and mtl is not null),
 {_cosine('g', 'whole', 'chapter', 'generated', 'original')}, {_cosine('m', 'whole', 'chapter', 'mtl', 'original')}
