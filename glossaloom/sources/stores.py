@@ -8,6 +8,7 @@ from pyspark.sql.utils import AnalysisException
 
 from glossaloom.operators.mining import Mined
 from glossaloom.plans.ordered import last_of
+from glossaloom.sources.corpus import read_text_tree
 
 
 POLICY_JSON = (
@@ -162,6 +163,42 @@ def seed(existing: DataFrame, incoming: DataFrame) -> DataFrame:
     return incoming.join(existing.select("novel").distinct(), "novel", "left_anti")
 
 
+#: Folder of a novel, source type of its chapters, and file names; the group is the chapter number.
+CHAPTER_FILES = {
+    "originals": ("original", r"^(\d+)(?:-.*)?\.txt$"),
+    "mtl": ("mtl", r"^chapter-(\d+)\.txt$"),
+}
+
+
+def chapter_files(spark: SparkSession, folder: str) -> DataFrame:
+    """``novel, number, source_type, text, checksum`` from files ``<folder>/<novel>/originals/NNN-....txt`` and
+    ``<folder>/<novel>/mtl/chapter-NNN.txt``; other files are left out,
+    as are empty ones, which hold no chapter.  Of several files of one chapter the first by name counts.
+    """
+    place = F.reverse(F.split("path", "/"))
+    texts = read_text_tree(spark, folder).select(
+        F.get(place, F.lit(2)).alias("novel"), F.get(place, F.lit(1)).alias("_kind"), F.col("name").alias("_file"), F.col("raw").alias("text")
+    )
+    kind, number = F.lit(None).cast("string"), F.lit("")
+    for name, (source_type, pattern) in CHAPTER_FILES.items():
+        kind = F.when(F.col("_kind") == name, F.lit(source_type)).otherwise(kind)
+        number = F.when(F.col("_kind") == name, F.regexp_extract("_file", pattern, 1)).otherwise(number)
+    rows = texts.select("novel", number.try_cast("bigint").alias("number"), kind.alias("source_type"), "text", F.sha2("text", 256).alias("checksum"), "_file")
+    key = ["novel", "number", "source_type"]
+    firsts = rows.where("number is not null").groupBy(*key).agg(F.min("_file").alias("_file"))
+    return rows.join(firsts, [*key, "_file"]).select(*key, "text", "checksum")
+
+
+def seed_chapters(existing: DataFrame, files: DataFrame, by_file: bool = False) -> DataFrame:
+    """The chapters of ``files`` that are to be added: those of novels that have none of their source type yet.
+
+    ``by_file``: those whose number and checksum the novel does not have yet, so that changed files come again.  A second
+    run adds nothing either way.
+    """
+    known = ["novel", "source_type", "number", "checksum"] if by_file else ["novel", "source_type"]
+    return files.join(existing.select(*known).distinct(), known, "left_anti").select(*files.columns)
+
+
 def backfill(chapters: DataFrame, outputs: DataFrame) -> DataFrame:
     """Fill ``refined_text`` of MTL chapters that lack it from ``outputs(novel, number, text)`` and complete them."""
     joined = chapters.join(outputs.select("novel", "number", F.col("text").alias("_out")), ["novel", "number"], "left")

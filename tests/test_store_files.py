@@ -107,3 +107,23 @@ def test_top_k_is_exact_over_many_blocks(spark):
     bank_v = spark.createDataFrame(vectors, "item_id int, features array<double>")
     got = S.top_k(bank_v.withColumnRenamed("item_id", "query_id"), bank_v, 1, "cosine", block=9).where("query_id < 40").collect()
     assert all(r.query_id == r.item_id and abs(r.score - 1) < 1e-9 for r in got) and len(got) == 40
+
+
+def test_chapters_are_seeded_from_files_once(spark, tmp_path):
+    files = {
+        "my novel/originals/001-The gate.txt": "One.\n\nTwo.", "my novel/originals/002.txt": "Second", "my novel/originals/notes.txt": "no number",
+        "my novel/mtl/chapter-0001.txt": "mtl one", "my novel/mtl/001-x.txt": "wrong name", "a+b/originals/7-x.txt": "first name", "a+b/originals/7-y.txt": "later name", "a+b/originals/8.txt": "",
+        "a+b/other/1.txt": "other folder", "a+b/mtl/chapter-99999999999999999999.txt": "no such number",
+    }
+    for name, text in files.items():
+        (tmp_path / name).parent.mkdir(parents=True, exist_ok=True)
+        (tmp_path / name).write_text(text)
+    found = stores.chapter_files(spark, str(tmp_path))
+    rows = sorted((r.novel, r.source_type, r.number, r.text) for r in found.collect())
+    assert rows == [("a+b", "original", 7, "first name"), ("my novel", "mtl", 1, "mtl one"), ("my novel", "original", 1, "One.\n\nTwo."), ("my novel", "original", 2, "Second")]
+    kept = found.where("novel = 'my novel' and number = 1 and source_type = 'original'")
+    added = lambda have, **how: sorted((r.novel, r.source_type, r.number) for r in stores.seed_chapters(have, found, **how).collect())
+    assert added(kept) == [("a+b", "original", 7), ("my novel", "mtl", 1)]
+    assert added(kept, by_file=True) == [("a+b", "original", 7), ("my novel", "mtl", 1), ("my novel", "original", 2)]
+    assert added(kept.withColumn("checksum", F.lit("old")), by_file=True) == [r[:3] for r in rows]
+    assert added(found) == added(found, by_file=True) == []
