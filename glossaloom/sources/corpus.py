@@ -159,11 +159,15 @@ def file_number(name: Column) -> Column:
     return F.when(digits != "", digits).cast("bigint")
 
 
-def index_by_number(files: DataFrame) -> DataFrame:
-    """``chapter, text`` from files ``name, raw``: the last file in name order wins a shared number."""
+def index_by_number(files: DataFrame, order: str | None = None) -> DataFrame:
+    """``chapter, text`` from files ``name, raw``: the last file in name order wins a shared number.
+
+    Of files of one name the first by the numeric column ``order`` counts; without it, the one of the greatest text.
+    """
+    last = F.struct("name", -F.col(order)) if order else F.struct("name", "raw")
     return (
         files.withColumn("chapter", file_number(F.col("name"))).where("chapter is not null")
-        .groupBy("chapter").agg(F.max_by("raw", "name").alias("text"))
+        .groupBy("chapter").agg(F.max_by("raw", last).alias("text"))
     )
 
 

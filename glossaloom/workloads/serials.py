@@ -119,8 +119,8 @@ def removal_dry_run(spark, sf):
 
 
 def index_by_number(spark, sf):
-    files = table(spark, sf, "pages").select(F.col("url").alias("name"), F.col("html").alias("raw"))
-    return corpus.index_by_number(files).select("chapter", F.md5("text").alias("text_md5"))
+    files = table(spark, sf, "pages").select("page_id", F.col("url").alias("name"), F.col("html").alias("raw"))
+    return corpus.index_by_number(files, "page_id").select("chapter", F.md5("text").alias("text_md5"))
 
 
 def change_table(spark, sf):

@@ -8,7 +8,7 @@ from glossaloom.operators import glossary as G
 from glossaloom.operators import style as S
 from glossaloom.operators import verdicts as V
 from glossaloom.operators.mining import Mined
-from glossaloom.sources import stores
+from glossaloom.sources import corpus, stores
 from test_substitution import store
 
 ENTRY = (
@@ -127,3 +127,9 @@ def test_chapters_are_seeded_from_files_once(spark, tmp_path):
     assert added(kept, by_file=True) == [("a+b", "original", 7), ("my novel", "mtl", 1), ("my novel", "original", 2)]
     assert added(kept.withColumn("checksum", F.lit("old")), by_file=True) == [r[:3] for r in rows]
     assert added(found) == added(found, by_file=True) == []
+
+
+def test_files_of_one_name_go_by_their_order(spark):
+    rows = [(3, "a/7", "late"), (1, "a/7", "first"), (2, "a/7", "mid"), (9, "A/7", "other"), (5, "b", "none")]
+    files = spark.createDataFrame(rows, "page_id bigint, name string, raw string")
+    assert [tuple(r) for r in corpus.index_by_number(files, "page_id").collect()] == [(7, "first")]
