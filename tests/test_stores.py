@@ -38,6 +38,13 @@ def test_roots_of_chains_and_circles(spark):
     assert {r.src: r.root for r in V.resolve_roots(df, policies).collect()} == {i: root(i) for i in edges}
 
 
+def test_chain_ends_leave_circles_out(spark):
+    rows = [("n", "a", "b"), ("n", "b", "c"), ("n", "x", "y"), ("n", "y", "x"), ("n", "to", "x")]
+    ended, looping = V.chain_ends(spark.createDataFrame(rows, "novel string, src string, dst string"))
+    assert {(r.src, r.root) for r in ended.collect()} == {("a", "c"), ("b", "c")}
+    assert {r.src for r in looping.collect()} == {"x", "y", "to"}
+
+
 def mined(spark):
     policies, forms = store(spark, [
         ("p1", "Carlon", ["Carlon"], 0.5, 1, "prompted", "Carlon"), ("p2", "Calron", ["Calron", "Cal"], 0.99, 2, "deterministic", "Calron"),
