@@ -45,6 +45,15 @@ def test_chain_ends_leave_circles_out(spark):
     assert {r.src for r in looping.collect()} == {"x", "y", "to"}
 
 
+def test_related_spelling_in_bytes_and_empty_triggers(spark):
+    names = [("d1", "Èque"), ("d2", "Èqueré"), ("d3", ""), ("d4", ""), ("d5", "Èquer")]
+    p = spark.createDataFrame([("n", i, t, True, False) for i, t in names], "novel string, policy_id string, trigger string, needs_review boolean, rejected boolean")
+    pairs = lambda **how: {(r.policy_id, r.related_id) for r in V.related_policies(p, **how).collect() if r.policy_id < r.related_id}
+    # Two letters of six, but three bytes.
+    assert pairs() == {("d1", "d2"), ("d1", "d5"), ("d2", "d5")}
+    assert pairs(in_bytes=True) == {("d1", "d5"), ("d2", "d5")}
+
+
 def mined(spark):
     policies, forms = store(spark, [
         ("p1", "Carlon", ["Carlon"], 0.5, 1, "prompted", "Carlon"), ("p2", "Calron", ["Calron", "Cal"], 0.99, 2, "deterministic", "Calron"),
