@@ -55,14 +55,11 @@ def _plain(html: str, drop: frozenset[str] = frozenset()) -> str:
 def html_to_text(html: Column, drop_script: bool = False) -> Column:
     """Text of an HTML page with line breaks at block tags and entities decoded.
 
-    Script and style contents are kept unless ``drop_script``.
+    Script and style contents are kept unless ``drop_script``.  Pages go to Python a hundred at a time, not in an Arrow batch of
+    thousands, so a worker's memory does not grow with the table.
     """
     drop = frozenset({"script", "style"}) if drop_script else frozenset()
-
-    @F.pandas_udf(T.StringType())
-    def convert(pages: pd.Series) -> pd.Series:
-        return pages.map(lambda page: None if page is None else _plain(page, drop))
-
+    convert = F.udf(lambda page: None if page is None else _plain(page, drop), T.StringType(), useArrow=False)
     return convert(html)
 
 

@@ -133,3 +133,11 @@ def test_files_of_one_name_go_by_their_order(spark):
     rows = [(3, "a/7", "late"), (1, "a/7", "first"), (2, "a/7", "mid"), (9, "A/7", "other"), (5, "b", "none")]
     files = spark.createDataFrame(rows, "page_id bigint, name string, raw string")
     assert [tuple(r) for r in corpus.index_by_number(files, "page_id").collect()] == [(7, "first")]
+
+
+def test_pages_go_to_python_in_small_batches(spark):
+    pages = spark.createDataFrame([("<p>One</p><script>x</script>",), (None,)], "html string")
+    text = pages.select(corpus.html_to_text(F.col("html"), drop_script=True).alias("t"))
+    plan = text._jdf.queryExecution().executedPlan().toString()
+    assert "BatchEvalPython" in plan and "ArrowEvalPython" not in plan
+    assert [None if r.t is None else r.t.strip() for r in text.collect()] == ["One", None]
