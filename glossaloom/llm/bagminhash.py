@@ -7,10 +7,10 @@ the signature, and the earliest point seen in a component is its value, so compo
 equal to their similarity.  A text needs its points up to the time at which every component has one, about
 m log m in all however long it is.
 
-Bands of the signature make buckets.  In a bucket, texts are compared with a leader, and those that stay in different
-components with each other; verified links are connected into classes.  Two bounds spare most of the second comparisons:
-weighted Jaccard distance is a metric, so texts whose distances to the leader differ by more than the allowed distance cannot
-be linked, and signatures of four bits a component differ in few places if two texts are similar.
+Bands of the signature make buckets.  In a bucket, texts are compared with a leader; verified links are connected into
+classes.  Those that stay outside the leader's class meet the others by what they changed against the leader: two similar
+texts share rare changes, so versions of one text that changed different things are never paired.  Signatures of four bits a
+component differ in few places if two texts are similar, which spares most of the remaining comparisons.
 """
 
 from __future__ import annotations
@@ -165,6 +165,41 @@ def _similarities(pairs: DataFrame, bags: DataFrame) -> DataFrame:
     return both.select("a", "b", (shared / (F.size("bag_a") + F.size("bag_b") - shared)).alias("value"))
 
 
+def _sharing_changes(told: DataFrame, bags: DataFrame, similarity: float) -> DataFrame:
+    """(a, b), a < b: pairs of different components that may be similar, of which one lies outside the component of a common leader.
+
+    ``told``: (leader, leader_size, node, size, value, component, main), a row for each leader and node that met it.  The changes
+    of a text are the shingles that it or its leader holds alone.  Similar texts differ in at most ``apart`` x their sizes
+    shingles, so of their changes they share at least half of what exceeds that, at least one if one of them is not similar to
+    the leader.  In an order from the rarest change on, the first that they share leaves as many to come in both.
+    """
+    apart = (1 - similarity) / (1 + similarity)
+    own, led = (bags.select(F.col("node").alias(n), F.col("bag").alias(f"{n}_bag")) for n in ("node", "leader"))
+    changed = F.concat(F.array_except("node_bag", "leader_bag"), F.array_except("leader_bag", "node_bag"))
+    changes = written(told.join(own, "node").join(led, "leader").select("leader", "node", changed.alias("changes")), "changes")
+    each = changes.select("leader", "node", F.explode("changes").alias("change"))
+    # a change that one text alone has comes first and meets nothing: only its place counts
+    spread = each.groupBy("leader", "change").agg(F.count("*").alias("texts")).where("texts > 1")
+    placed = each.join(spread, ["leader", "change"]).groupBy("leader", "node").agg(F.sort_array(F.collect_list(F.struct("texts", "change"))).alias("common"))
+    placed = placed.join(changes.select("leader", "node", F.size("changes").alias("n")), ["leader", "node"]).join(told, ["leader", "node"])
+    placed = placed.select("leader", "node", "size", "leader_size", "value", "component", "main", "n", F.posexplode("common").alias("at", "change"), (F.col("n") - F.size("common")).alias("alone"))
+    placed = written(placed.select("*", (F.col("n") - F.col("alone") - F.col("at")).alias("left"), F.col("change.change").alias("shared")).drop("at", "alone", "change"), "placed")
+    held = ["node", "size", "value", "component", "n", "left"]
+    named = lambda side: [F.col(c).alias(f"{c}_{side}") for c in held]
+    # a similar text has the other changes but for ``size`` x (1 / similarity - 1) at most
+    outside = placed.where((F.col("component") != F.col("main")) & (F.col("left") >= F.col("n") - F.col("size") * (1 / similarity - 1) - 1e-6))
+    every = placed.where(2 * F.col("left") >= F.col("n") + apart * (F.col("leader_size") - F.col("size")) - 1e-6)
+    met = outside.select("leader", "shared", *named("x")).join(
+        every.select("leader", "shared", *named("y"), (F.col("component") == F.col("main")).alias("inside")), ["leader", "shared"]
+    ).where(
+        (F.col("component_x") != F.col("component_y")) & (F.col("inside") | (F.col("node_x") < F.col("node_y")))
+        & (F.least("size_x", "size_y") >= similarity * F.greatest("size_x", "size_y"))
+        & F.coalesce(F.abs(F.col("value_x") - F.col("value_y")) <= 1 - similarity + 1e-9, F.lit(True))
+        & (2 * F.least("left_x", "left_y") >= F.col("n_x") + F.col("n_y") - apart * (F.col("size_x") + F.col("size_y")) - 1e-6)
+    )
+    return met.select(F.least("node_x", "node_y").alias("a"), F.greatest("node_x", "node_y").alias("b")).distinct()
+
+
 def near_duplicates(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: float = SIMILARITY, bands: int = BANDS, rows: int = ROWS,
 ) -> DataFrame:
@@ -203,25 +238,18 @@ def near_duplicates(
     links = to_leader.where(F.col("value") >= similarity).select("a", "b")
     label = written(components(links, near_nodes.select("node")), "components")
 
-    # texts of a bucket outside its leader's component, against the rest of the bucket
+    # texts outside their leader's component, against the others that met the leader
     value = to_leader.select(F.col("a").alias("leader"), F.col("b").alias("node"), "value")
-    told = led.drop("leader_size").join(value, ["leader", "node"], "left").join(label, "node")
+    told = led.where("node != leader").select("leader", "leader_size", "node", "size").distinct().join(value, ["leader", "node"], "left").join(label, "node")
     told = told.join(label.select(F.col("node").alias("leader"), F.col("component").alias("main")), "leader")
-    open_buckets = told.where("component != main").select("bucket").distinct()
-    told = written(told.join(open_buckets, "bucket", "left_semi").join(near_nodes.select("node", "short"), "node"), "told")
-    outside = told.where("component != main").select("bucket", F.col("node").alias("a"), F.col("size").alias("size_a"), F.col("component").alias("component_a"), F.col("value").alias("value_a"), F.col("short").alias("short_a"))
-    every = told.where("node != leader").select(
-        "bucket", F.col("node").alias("b"), F.col("size").alias("size_b"), F.col("component").alias("component_b"), F.col("value").alias("value_b"), F.col("short").alias("short_b"), (F.col("component") == F.col("main")).alias("inside")
-    )
+    told = told.join(told.where("component != main").select("leader").distinct(), "leader", "left_semi")
+    met = _sharing_changes(written(told, "told"), bags, similarity)
     size = bands * rows
     odds = 15 / 16 * (1 - similarity)
     most = size * odds + SPARE_DEVIATIONS * (size * odds * (1 - odds)) ** 0.5
-    met = outside.join(every, "bucket").where(
-        (F.col("component_a") != F.col("component_b")) & (F.col("inside") | (F.col("a") < F.col("b"))) & close("size_a", "size_b")
-        & F.coalesce(F.abs(F.col("value_a") - F.col("value_b")) <= 1 - similarity + 1e-9, F.lit(True))
-        & (_differing("short_a", "short_b", size) <= most)
-    )
-    rest = met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    for side in "ab":
+        met = met.join(near_nodes.select(F.col("node").alias(side), F.col("short").alias(f"short_{side}")), side)
+    rest = written(met.where(_differing("short_a", "short_b", size) <= most).select("a", "b"), "rest")
     more = written(_similarities(rest, bags), "similar").where(F.col("value") >= similarity).select("a", "b")
     if not more.isEmpty():
         label = components(links.unionByName(more), near_nodes.select("node"))

@@ -144,3 +144,17 @@ def test_near_copies_of_very_long_texts(spark):
     docs = spark.createDataFrame(rows, "doc_id long, text string")
     got = {r.doc_id: r.class_id for r in bagminhash.near_duplicates(docs).collect()}
     assert got == brute_classes(rows) == {1: 1, 2: 1, 3: 3}
+
+
+def test_versions_just_under_the_bound_are_not_compared_pair_by_pair(spark, monkeypatch):
+    rng = random.Random(8)
+    words, rows = [f"b{i}" for i in range(64)], []
+    for version in range(60):
+        edited = list(words)
+        edited[rng.randrange(5, 59)] = f"e{version}"
+        rows.append((version, " ".join(edited)))
+    verified, real = [], bagminhash._similarities
+    monkeypatch.setattr(bagminhash, "_similarities", lambda pairs, bags: verified.append(pairs.count()) or real(pairs, bags))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert {r.doc_id: r.class_id for r in bagminhash.near_duplicates(docs).collect()} == brute_classes(rows)
+    assert verified[1] <= 2 * len(rows), verified
