@@ -25,8 +25,8 @@ def words_of(text: str) -> list[bytes]:
     return text.encode().lower().split()
 
 
-#: Hashes of the words that this worker has met.
-_WORDS = WordTable(lambda words: list(map(xxhash.xxh3_64_intdigest, words)))
+#: Hashes of the words that this worker has met: few, as a hash costs little more than a look-up and the table outlives its stage.
+_WORDS = WordTable(lambda words: list(map(xxhash.xxh3_64_intdigest, words)), 100_000)
 
 
 def word_hashes(words: list[list[bytes]]) -> list[np.ndarray]:

@@ -158,3 +158,9 @@ def test_versions_just_under_the_bound_are_not_compared_pair_by_pair(spark, monk
     docs = spark.createDataFrame(rows, "doc_id long, text string")
     assert {r.doc_id: r.class_id for r in bagminhash.near_duplicates(docs).collect()} == brute_classes(rows)
     assert verified[1] <= 2 * len(rows), verified
+
+
+def test_a_worker_holds_few_word_hashes():
+    for start in range(0, 500_000, 20_000):
+        shingles.word_hashes([[b"x%d" % i for i in range(start, start + 20_000)]])
+    assert len(shingles._WORDS.known) + len(shingles._WORDS.before) <= 250_000
