@@ -201,3 +201,23 @@ def test_clean_artifacts_and_missing_names(spark):
     texts = chapters(spark, ["Dominic cooked."])
     trace = spark.createDataFrame([("n", 1, "DOMINIC"), ("n", 1, "Calron "), ("n", 1, "")], "novel string, chapter bigint, output string")
     assert [r.term for r in S.missing_entities(texts, trace).collect()] == ["Calron"]
+
+
+def test_only_forms_that_can_overlap_are_settled(spark):
+    forms = spark.createDataFrame(
+        [("n", "p1", 0, "Li Qing"), ("n", "p2", 0, "Qing"), ("n", "p3", 0, "Gate of Li"), ("n", "p4", 0, "Iron of"), ("m", "p5", 0, "Qing"), ("n", "p6", 0, "a-b-a"), ("n", "p7", 0, "Dom")],
+        FORM,
+    )
+    # "of" stands in two forms, but no form begins with it.
+    assert {r.policy_id for r in S.meeting_forms(forms, ["policy_id", "pos", "form"]).collect()} == {"p1", "p2", "p3", "p6"}
+
+
+def test_prepass_shuffles_texts_once_a_side_and_no_spans(spark):
+    policies = spark.createDataFrame([("n", "p1", "x", "Ian", "Iain", "deterministic", 0.9, 3, False, 1)], POLICY)
+    forms = spark.createDataFrame([("n", "p1", 0, "Ian")], FORM)
+    texts = chapters(spark, ["ian met Ian", "nobody"])
+    rewritten, resolved = S.prepass(texts, policies, forms)
+    plan = rewritten._jdf.queryExecution().executedPlan().toString()
+    by_chapter = [keys for keys in re.findall(r"Exchange hashpartitioning\(([^)]*)\)", plan) if "chapter" in keys]
+    assert len(by_chapter) == 2 and {r.new_text for r in rewritten.collect()} == {"Iain met Iain", "nobody"}
+    assert resolved.where("won").count() == 2
