@@ -221,3 +221,19 @@ def test_prepass_shuffles_texts_once_a_side_and_no_spans(spark):
     by_chapter = [keys for keys in re.findall(r"Exchange hashpartitioning\(([^)]*)\)", plan) if "chapter" in keys]
     assert len(by_chapter) == 2 and {r.new_text for r in rewritten.collect()} == {"Iain met Iain", "nobody"}
     assert resolved.where("won").count() == 2
+
+
+def test_restored_texts_equal_names_replaced_in_turn(spark):
+    names = {"__ENT_0__": "Li", "__ENT_1__": "Qing", "__ENT_10__": "Old Li", "__ENT_3__": "A"}
+    odd = {"__ENT_0__": "3", "__ENT_3__": "under_score", "<x>": "y"}
+    texts = ["__ENT_0____ENT_10__, __ENT_1__.", "__ENT_9__ __ENT_01__ __ENT_3__", "__ENT_9__ENT_0__ and __ENT___ENT_0____", "ENT_1__ none", "", "__ENT_99999999999__ <x>"]
+    for mapping in (names, odd):
+        rows = [("n", i, canonical, mark) for i in range(len(texts)) for mark, canonical in mapping.items()]
+        frame = spark.createDataFrame([("n", i, t) for i, t in enumerate(texts)] + [("n", 77, "__ENT_0__")], "novel string, chapter bigint, text string")
+        back = S.restore_entities(frame, spark.createDataFrame(rows, "novel string, chapter bigint, canonical string, placeholder string"))
+        got = {r.chapter: r.text for r in back.collect()}
+        for i, text in enumerate(texts):
+            for mark in sorted(mapping):
+                text = text.replace(mark, mapping[mark])
+            assert got[i] == text
+        assert got[77] == "__ENT_0__"
