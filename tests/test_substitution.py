@@ -237,3 +237,16 @@ def test_restored_texts_equal_names_replaced_in_turn(spark):
                 text = text.replace(mark, mapping[mark])
             assert got[i] == text
         assert got[77] == "__ENT_0__"
+
+
+def test_rewrite_keeps_texts_in_parquet_only(spark):
+    from glossaloom.operators.rewriting import rewrite_chapters
+
+    policies = spark.createDataFrame([("n", "p1", "x", "Ian", "Iain", "deterministic", 0.9, 3, False, 1)], POLICY)
+    forms = spark.createDataFrame([("n", "p1", 0, "Ian")], FORM)
+    glossary = spark.createDataFrame([("n", "Ian", [], {})], "novel string, canonical string, aliases array<string>, metadata map<string,string>")
+    result = rewrite_chapters(chapters(spark, ["ian met Ian\nthere", "nobody"]), policies, forms, glossary)["result"]
+    plan = result._jdf.queryExecution().optimizedPlan().toString()
+    # Checkpointed texts lie uncompressed, several times over; only small tables may be read from there.
+    assert not [line for line in plan.splitlines() if "LogicalRDD" in line and ("prepassed" in line or "text#" in line)]
+    assert {(r.rewritten, r.deterministic_count) for r in result.collect()} == {("Iain met Iain\n\nthere", 2), ("nobody", 0)}
