@@ -54,6 +54,23 @@ def test_related_spelling_in_bytes_and_empty_triggers(spark):
     assert pairs(in_bytes=True) == {("d1", "d5"), ("d2", "d5")}
 
 
+def test_related_lists_are_made_once_a_trigger(spark):
+    """Fifty policies of one name are one row until the prompts are written, where each lists the others."""
+    rows = [("n", f"p{i:02d}", "Aldous Brandt", "entity-naming", 0.5, True, False, i) for i in range(50)]
+    rows += [("n", "q1", "Brandt", "entity-naming", 0.9, False, False, 60), ("n", "q2", "", "entity-naming", 0.5, True, False, 61), ("n", "q3", "Zo", "entity-naming", 0.5, True, False, 62)]
+    p = spark.createDataFrame(rows, "novel string, policy_id string, trigger string, type string, confidence double, needs_review boolean, rejected boolean, rank bigint")
+    assert {(r.trigger, r.other) for r in V.related_triggers(p).collect()} == {("Aldous Brandt", "Aldous Brandt"), ("Aldous Brandt", "Brandt"), ("Zo", "Zo")}
+    assert V.related_triggers(p).count() == 3
+    assert V.related_policies(p).count() == 50 * 50
+    contexts = spark.createDataFrame([("n", "p00", 1, "Seen.")], "novel string, policy_id string, pos int, context string")
+    prompts = sorted(V.review_prompts(Mined(p, None, None, contexts), batch_size=1).collect(), key=lambda r: r.batch)
+    assert [r.ids for r in prompts] == [[f"p{i:02d}"] for i in range(50)] + [["q2"], ["q3"]]
+    for i, r in enumerate(prompts[:50]):
+        facts = [f"      - p{k:02d} Aldous Brandt (entity-naming, conf=0.5)" for k in range(50) if k != i] + ["      - q1 Brandt (entity-naming, conf=0.9)"]
+        assert "\n    related:\n" + "\n".join(facts) + "\nReply" in r.prompt and ("example: Seen." in r.prompt) == (i == 0)
+    assert not any("related:" in r.prompt for r in prompts[50:])
+
+
 def mined(spark):
     policies, forms = store(spark, [
         ("p1", "Carlon", ["Carlon"], 0.5, 1, "prompted", "Carlon"), ("p2", "Calron", ["Calron", "Cal"], 0.99, 2, "deterministic", "Calron"),
