@@ -109,6 +109,25 @@ def test_top_k_is_exact_over_many_blocks(spark):
     assert all(r.query_id == r.item_id and abs(r.score - 1) < 1e-9 for r in got) and len(got) == 40
 
 
+def test_top_k_sends_a_query_to_blocks_and_not_to_each_item(spark):
+    """Items of one common token: what is shuffled for a query are blocks of the bank; ties and items of no shared token count too."""
+    items = [(f"{i:03d}", ["all", f"w{i}"], 0.15 if i % 7 == 0 else 0.0, i) for i in range(100)]
+    asked = [(q, ["all", f"w{q}", "none"], q + 1) for q in range(0, 100, 9)] + [(200, ["none"], 60), (201, [], 3), (202, ["all"], 0), (203, None, 5)]
+    bank = spark.createDataFrame(items, "item_id string, features array<string>, bonus double, number int")
+    queries = spark.createDataFrame(asked, "query_id int, features array<string>, below int")
+    seen = []
+    for block in (1, 3, 1000):
+        got = S.top_k(queries, bank, 3, "jaccard", None, block, "bonus", ("number", "below"))
+        seen.append(sorted((r.query_id, r["rank"], r.item_id, r.score) for r in got.collect()))
+        if block == 1:
+            assert "Join" not in got._jdf.queryExecution().optimizedPlan().toString()
+    assert seen[0] == seen[1] == seen[2]
+    best = {(q, k): (i, s) for q, k, i, s in seen[0]}
+    assert best[200, 1] == ("000", 0.15) and best[200, 3] == ("014", 0.15) and best[201, 3] == ("002", 0.0)
+    assert best[45, 1] == ("045", 2 / 3) and best[45, 2] == ("000", 1 / 4 + 0.15)
+    assert not {q for q, _ in best} & {202, 203}
+
+
 def test_chapters_are_seeded_from_files_once(spark, tmp_path):
     files = {
         "my novel/originals/001-The gate.txt": "One.\n\nTwo.", "my novel/originals/002.txt": "Second", "my novel/originals/notes.txt": "no number",
